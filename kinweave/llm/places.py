@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,24 +58,40 @@ class Trie:
             node.setdefault(None, set()).add((canonical, country or "", population or 0))
 
     def within(self, word: str, most: int) -> list[tuple[int, str, str, int]]:
-        """(distance, canonical, country, population) of every entry within ``most`` edits."""
-        out: list[tuple[int, str, str, int]] = []
+        """(distance, canonical, country, population) of every entry within ``most`` edits.
+
+        The automaton's state is (letters read, edits left); only trie nodes that
+        some state reaches are visited.
+        """
+        best: dict[tuple[str, str, int], int] = {}
         n = len(word)
-        stack = [(node, ch, list(range(n + 1)), None, "") for ch, node in self.root.items() if ch is not None]
+        stack = [(self.root, 0, most)]
         while stack:
-            node, ch, above, above2, before = stack.pop()
-            row = [above[0] + 1]
-            for j in range(1, n + 1):
-                cost = min(row[j - 1] + 1, above[j] + 1, above[j - 1] + (word[j - 1] != ch))
-                if above2 is not None and j > 1 and word[j - 1] == before and word[j - 2] == ch:
-                    cost = min(cost, above2[j - 2] + 1)
-                row.append(cost)
-            if min(row) > most and min(above) > most:
+            node, i, left = stack.pop()
+            if not left:
+                while i < n and node is not None:
+                    node = node.get(word[i])
+                    i += 1
+                if node is None:
+                    continue
+            if i == n and None in node:
+                for e in node[None]:
+                    best[e] = min(best.get(e, most), most - left)
+            if not left:
                 continue
-            if row[n] <= most and None in node:
-                out += [(row[n], *e) for e in node[None]]
-            stack += [(child, c, row, above, ch) for c, child in node.items() if c is not None]
-        return out
+            here = word[i] if i < n else None
+            if here is not None:
+                stack.append((node, i + 1, left - 1))
+                if here in node:
+                    stack.append((node[here], i + 1, left))
+                if i + 1 < n and word[i + 1] in node and here in node[word[i + 1]]:
+                    stack.append((node[word[i + 1]][here], i + 2, left - 1))
+            for ch, child in node.items():
+                if ch is not None:
+                    stack.append((child, i, left - 1))
+                    if here is not None and ch != here:
+                        stack.append((child, i + 1, left - 1))
+        return [(d, *e) for e, d in best.items()]
 
 
 class Places:
@@ -104,7 +121,8 @@ class Places:
             best = None
             for form in dict.fromkeys((typed, UNIT_END.sub("", typed))):
                 w = letters(form)
-                for d, canonical, c, pop in self.trie.within(w, allowed(len(w))) if w else ():
+                near = (self.trie.within(w, 0) or self.trie.within(w, allowed(len(w)))) if w else []
+                for d, canonical, c, pop in near:
                     best = min(x for x in (best, (d, c != country, -pop, canonical)) if x)
             self.typed[key] = best[3] if best else None
         return self.typed[key]
@@ -175,6 +193,17 @@ class Places:
         return self.venues[venue]
 
 
+_held: dict[str, Places] = {}
+
+
+def _places(key: str, entries: list[tuple[str, str, str, int]]) -> Places:
+    """The matcher of one run, kept by the worker between its tasks."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Places(entries)
+    return _held[key]
+
+
 def venue_places(rows: DataFrame, row_id: str, venue: str, reference: DataFrame) -> DataFrame:
     """(row_id, canonical) of each single-valued venue that names a place.
 
@@ -187,7 +216,7 @@ def venue_places(rows: DataFrame, row_id: str, venue: str, reference: DataFrame)
     entries = reference.filter(F.col("name").isNotNull() & F.col("canonical").isNotNull()).select("name", "canonical", "country", F.col("population").cast("long")).distinct()
     if (n := entries.count()) > MAX_ENTRIES:
         raise ValueError(f"the reference list holds {n} entries; at most {MAX_ENTRIES} are held in a task")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in entries.collect()])
+    shared, run_key = spark.sparkContext.broadcast([tuple(r) for r in entries.collect()]), uuid.uuid4().hex
     cell = F.col("venue")
     src = rows.select(F.col(row_id).alias("row_id"), F.col(venue).alias("venue")).filter(cell.isNotNull())
     values = venue_values(cell)
@@ -195,7 +224,7 @@ def venue_places(rows: DataFrame, row_id: str, venue: str, reference: DataFrame)
     src = src.select("row_id", one.alias("venue")).filter(cell.isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(shared.value)
+        places = _places(run_key, shared.value)
         for batch in batches:
             ids, got = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
