@@ -13,6 +13,7 @@ from .groups import match_groups
 from .layouts import activity_copies, activity_records
 from .leaks import leaked_items
 from .lookalikes import lookalike_cells
+from .names import variant_pairs
 from .places import venue_places
 from .survivors import FIELDS, artist_survivors, truths
 
@@ -23,6 +24,10 @@ def p1_found(s: SparkSession, d: str) -> DataFrame:
     return match_groups(t(s, d, "merge_records"), "kept", "dropped", "ledger_id", "group_id")
 
 
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(t(s, d, "artists"))
+
+
 def p3_found(s: SparkSession, d: str) -> DataFrame:
     return artist_survivors(t(s, d, "artists"))
 
@@ -66,4 +71,4 @@ def p10_found(s: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.when(F.col("lost"), F.lit("")).otherwise(F.md5("restored")).alias("restored_md5"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p3_found, p3_truths, p4_found, p4_records, p6_found, p7_found, p7_plain, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_truths, p4_found, p4_records, p6_found, p7_found, p7_plain, p8_ids, p9_found, p10_found)}
