@@ -1,4 +1,4 @@
 """Named queries; importing the modules registers them."""
 
-from . import cells
+from . import careers, cells, ties
 from .registry import QUERIES, SQL
