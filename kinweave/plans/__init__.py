@@ -1,4 +1,4 @@
 """Named queries; importing the modules registers them."""
 
-from . import careers, cells, ties
+from . import careers, cells, records, ties
 from .registry import QUERIES, SQL
