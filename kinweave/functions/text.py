@@ -118,7 +118,7 @@ def initials(c: Column, skip: tuple[str, ...] = ("of", "the", "and", "for", "de"
 
 
 def split_pipe(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_pipe(c: Column) -> Column:

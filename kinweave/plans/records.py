@@ -137,7 +137,7 @@ def boundary_pairs(s: SparkSession, d: str) -> DataFrame:
 
 @query("gaps_islands_runs", "WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS r FROM a) SELECT user_id, event_type, epoch_us(min(ts)) AS start, count(*) AS length FROM b GROUP BY user_id, event_type, r")
 def gaps_islands_runs(s: SparkSession, d: str) -> DataFrame:
-    return sq.runs(t(s, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").withColumn("start", F.unix_micros("start"))
+    return sq.runs(t(s, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").withColumn("start", F.unix_micros(F.col("start").cast("timestamp")))
 
 
 @query("band_join_pm1", "SELECT l_orderkey, l_linenumber, o_orderkey FROM (SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS x FROM lineitem) l JOIN (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS y FROM orders) o ON l.l_partkey = o.o_custkey AND abs(x - y) <= 1")
