@@ -45,7 +45,7 @@ def match_groups(pairs: DataFrame, a: str, b: str, member: str = "member", group
     while (n_edges := edges.count()) > 0:
         k += 1
         step = _core_step if core else _low_degree_step
-        gone = work.save(step(edges, k), f"gone{k}")
+        gone = work.save(step(edges), f"gone{k}")
         n_gone = gone.count()
         if not n_gone:
             core = True
@@ -62,16 +62,16 @@ def match_groups(pairs: DataFrame, a: str, b: str, member: str = "member", group
     return _labels(forest, len(parents), work, member, group)
 
 
-def _rank(c: F.Column, k: int) -> F.Column:
-    """Random order of the round; the id itself breaks ties."""
-    return F.struct(F.xxhash64(c, F.lit(k)), c)
+def _rank(c: F.Column) -> F.Column:
+    """A random order, the same in every round, so that every round runs the same compiled code; the id breaks ties."""
+    return F.struct(F.xxhash64(c), c)
 
 
 def _arcs(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
 
 
-def _low_degree_step(edges: DataFrame, k: int) -> DataFrame:
+def _low_degree_step(edges: DataFrame) -> DataFrame:
     """Vertices of degree one, and an independent set of those of degree two: (v, parent, other)."""
     low = _arcs(edges).groupBy("v").agg(F.count(F.lit(1)).alias("deg"), F.min("w").alias("lo"), F.max("w").alias("hi")).filter("deg <= 2")
     ends = low.select("v", "deg", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("w"))
@@ -80,21 +80,21 @@ def _low_degree_step(edges: DataFrame, k: int) -> DataFrame:
         F.min("w").alias("lo"),
         F.max("w").alias("hi"),
         F.max((F.col("near_deg") == 1).cast("int")).alias("by_leaf"),
-        F.min(F.when(F.col("near_deg") == 2, _rank(F.col("w"), k))).alias("first"),
+        F.min(F.when(F.col("near_deg") == 2, _rank(F.col("w")))).alias("first"),
     )
     leaf = (F.col("deg") == 1) & (F.coalesce(F.col("by_leaf"), F.lit(0)).eqNullSafe(0) | (F.col("v") > F.col("lo")))
-    chain = (F.col("deg") == 2) & F.coalesce(F.col("by_leaf"), F.lit(0)).eqNullSafe(0) & (F.col("first").isNull() | (_rank(F.col("v"), k) < F.col("first")))
+    chain = (F.col("deg") == 2) & F.coalesce(F.col("by_leaf"), F.lit(0)).eqNullSafe(0) & (F.col("first").isNull() | (_rank(F.col("v")) < F.col("first")))
     return seen.filter(leaf | chain).select("v", F.col("lo").alias("parent"), F.when(F.col("deg") == 2, F.col("hi")).alias("other"))
 
 
-def _core_step(edges: DataFrame, k: int) -> DataFrame:
+def _core_step(edges: DataFrame) -> DataFrame:
     """Vertices next to a local minimum of the ranks: (v, parent, other=null)."""
     arcs = _arcs(edges)
-    least = arcs.groupBy("v").agg(F.min(_rank(F.col("w"), k)).alias("m"))
-    roots = least.filter(_rank(F.col("v"), k) < F.col("m")).select(F.col("v").alias("w"))
+    least = arcs.groupBy("v").agg(F.min(_rank(F.col("w"))).alias("m"))
+    roots = least.filter(_rank(F.col("v")) < F.col("m")).select(F.col("v").alias("w"))
     hot = hot_keys(arcs, "w")
     marked = skew_left_join(arcs, roots.withColumn("root", F.lit(True)), "w", hot, "inner")
-    best = marked.groupBy("v").agg(F.min_by("w", _rank(F.col("w"), k)).alias("parent"))
+    best = marked.groupBy("v").agg(F.min_by("w", _rank(F.col("w"))).alias("parent"))
     return best.select("v", "parent", F.lit(None).cast("string").alias("other"))
 
 
