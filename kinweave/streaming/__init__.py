@@ -1,0 +1 @@
+"""Streaming forms of batch operators (an extension: the batch rules have no clock)."""
