@@ -1,4 +1,4 @@
 """Named queries; importing the modules registers them."""
 
-from . import careers, cells, publish, records, texts, ties
+from . import careers, cells, people, publish, records, texts, ties
 from .registry import QUERIES, SQL
