@@ -102,34 +102,43 @@ def normalised_cells(cells: DataFrame, keys: list[str], text: str) -> DataFrame:
     parts = seen.select("cell", "text", "w", "c", F.when(applies, F.col("to")).otherwise(own).alias("to"))
     # one position per resulting code point; a cell that loses all its characters keeps an empty one
     flat = parts.select("cell", "text", "w", "c", F.posexplode_outer("to").alias("k", "p")).select("cell", "text", "w", "c", "k", F.col("p.cp").alias("cp"), F.col("p.ccc").alias("ccc"))
-    joins_on = (F.col("ccc") > 0) | F.col("cp").between(V_BASE, 0x1175) | F.col("cp").between(T_BASE + 1, 0x11C2)
     place = Window.partitionBy("cell").orderBy("w", "c", "k")
-    based = flat.withColumn("base", F.sum(F.when(joins_on, 0).otherwise(1)).over(place))
+    # a vowel or final jamo belongs to the Hangul right before it; elsewhere it is a base of its own
+    after = F.lag("cp").over(place)
+    hangul = after.between(L_BASE, 0x1112) | after.between(V_BASE, 0x1175) | after.between(S_BASE, 0xD7A3)
+    joins_on = (F.col("ccc") > 0) | (F.coalesce(hangul, F.lit(False)) & (F.col("cp").between(V_BASE, 0x1175) | F.col("cp").between(T_BASE + 1, 0x11C2)))
+    based = flat.withColumn("opens", F.when(joins_on, 0).otherwise(1)).withColumn("base", F.sum("opens").over(place))
     cluster = based.groupBy("cell", "base").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct("ccc", "w", "c", "k", "cp"))).alias("points"))
     # a stable sort by class puts the base, class 0, first; jamo keep their order
-    codes = F.transform(F.filter("points", lambda p: p["cp"].isNotNull()), lambda p: p["cp"])
-    composed = cluster.select("cell", "base", "text", _composed(codes).alias("codes"))
+    points = F.filter("points", lambda p: p["cp"].isNotNull())
+    composed = cluster.select("cell", "base", "text", _composed(points).alias("codes"))
     rebuilt = composed.groupBy("cell").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct("base", "codes"))).alias("all"))
     hexed = F.transform(F.flatten(F.transform("all", lambda s: s["codes"])), lambda c: F.lpad(F.hex(c), 8, "0"))
     plain = F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
     return rebuilt.select("cell.*", "text", plain.alias("plain")).filter(F.col("plain") != F.col("text"))
 
 
-def _composed(codes: F.Column) -> F.Column:
-    """Canonical composition of one base and its marks (code points in class order)."""
+def _composed(points: F.Column) -> F.Column:
+    """Canonical composition of one base and its marks (code points in class order).
+
+    A mark composes with the base unless a mark left in between has its class or a
+    higher one.
+    """
     pairs = F.map_from_arrays(F.lit(list(composition_pairs())), F.lit(list(composition_pairs().values())))
 
-    def step(acc: F.Column, c: F.Column) -> F.Column:
-        st = acc["st"]
+    def step(acc: F.Column, p: F.Column) -> F.Column:
+        st, c = acc["st"], p["cp"]
         lv = F.when(st.between(L_BASE, 0x1112) & c.between(V_BASE, 0x1175), ((st - L_BASE) * 21 + (c - V_BASE)) * 28 + S_BASE)
         lvt = F.when(st.between(S_BASE, 0xD7A3) & ((st - S_BASE) % 28 == 0) & c.between(T_BASE + 1, 0x11C2), st + c - T_BASE)
         mark = F.when(c.between(0x300, 0x3FF) | c.between(0x3099, 0x309A) | c.between(0x653, 0x655) | (c > 0x900), F.element_at(pairs, F.shiftleft(st.cast("long"), 21).bitwiseOR(c.cast("long"))))
-        new = F.when(st.isNotNull(), F.coalesce(lv, lvt, mark)).cast("int")
-        return F.when(st.isNull(), F.struct(c.alias("st"), acc["rest"].alias("rest"))).when(new.isNotNull(), F.struct(new.alias("st"), acc["rest"].alias("rest"))).otherwise(F.struct(st.alias("st"), F.concat(acc["rest"], F.array(c)).alias("rest")))
-
-    start = F.struct(F.lit(None).cast("int").alias("st"), F.array().cast("array<int>").alias("rest"))
-    folded = F.aggregate(codes, start, step, lambda acc: F.when(acc["st"].isNull(), acc["rest"]).otherwise(F.concat(F.array(acc["st"]), acc["rest"])))
-    return F.when(F.size(codes) > 1, folded).otherwise(codes)
+        free = (acc["last"] < 0) | (acc["last"] < p["ccc"])
+        new = F.when(st.isNotNull() & free, F.coalesce(lv, lvt, mark)).cast("int")
+        state = lambda s, rest, last: F.struct(s.alias("st"), rest.alias("rest"), last.alias("last"))
+        return F.when(st.isNull(), state(c, acc["rest"], acc["last"])).when(new.isNotNull(), state(new, acc["rest"], acc["last"])).otherwise(state(st, F.concat(acc["rest"], F.array(c)), p["ccc"]))
+
+    start = F.struct(F.lit(None).cast("int").alias("st"), F.array().cast("array<int>").alias("rest"), F.lit(-1).alias("last"))
+    folded = F.aggregate(points, start, step, lambda acc: F.when(acc["st"].isNull(), acc["rest"]).otherwise(F.concat(F.array(acc["st"]), acc["rest"])))
+    return F.when(F.size(points) > 1, folded).otherwise(F.transform(points, lambda p: p["cp"]))
 
 
 def archive_cells(artists: DataFrame, activities: DataFrame) -> DataFrame:
