@@ -44,6 +44,7 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if now == before:
             break
         before = now
+    work.keep_only(f"e{k}")
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
@@ -68,4 +69,5 @@ def follow(redirects: DataFrame, old: str, new: str) -> DataFrame:
             break
         seen = going if k > 5 else -1
         ptr = ptr.select("o", "n", "low")
+    work.keep_only(f"p{k}")
     return ptr.select(F.col("o").alias(old), F.when(F.col("open"), F.col("low")).otherwise(F.col("n")).alias("final"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
+
 K, DOMINANCE = 10, 0.9
 
 
@@ -38,11 +40,8 @@ def secondary(cells: DataFrame, margins: list[list[str]], key: list[str], n: str
     loop ends since every round withholds at least one more cell. A bound is an
     unknown, like a withheld cell.
     """
-    work = cells
-    from ..storage import Scratch
-
     scratch, k = Scratch(cells.sparkSession, "secondary"), 0
-    work = scratch.save(work, "c0")
+    work = scratch.save(cells, "c0")
     while True:
         victims = None
         for m in margins:
@@ -56,6 +55,7 @@ def secondary(cells: DataFrame, margins: list[list[str]], key: list[str], n: str
         nxt = scratch.save(work.join(victims, key, "left").select(*[F.when(F.col("__victim"), F.lit("secondary")).otherwise(F.col(c)).alias(c) if c == status else F.col(c) for c in work.columns], F.coalesce("__victim", F.lit(False)).alias("__v")), f"c{k}")
         stop = nxt.filter("__v").limit(1).count() == 0
         work = nxt.drop("__v")
+        scratch.keep_only(f"c{k}")
         if stop:
             return work
 

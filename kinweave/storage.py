@@ -43,8 +43,19 @@ class Scratch:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}")
 
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str) -> None:
         """Delete a table no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._path(name)
+        fs.delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables of the run but the named ones, which a lazy result still reads."""
+        fs, path = self._path()
+        if fs.exists(path):
+            for status in fs.listStatus(path):
+                if status.getPath().getName() not in names:
+                    fs.delete(status.getPath(), True)
