@@ -118,10 +118,12 @@ def _without(edges: DataFrame, gone: DataFrame, core: bool) -> DataFrame:
 def _labels(forest: DataFrame, rounds: int, work: Scratch, member: str, group: str) -> DataFrame:
     """Pointer doubling to the roots, then the smallest id under each root."""
     ptr = work.save(forest, "ptr0")
+    work.keep_only("ptr0")
     for k in range(1, max(1, (rounds - 1).bit_length()) + 1):
         up = ptr.select(F.col("v").alias("parent"), F.col("parent").alias("next"))
         ptr = skew_left_join(ptr, up, "parent", hot_keys(ptr, "parent")).select("v", F.coalesce("next", "parent").alias("parent"))
         ptr = work.save(ptr, f"ptr{k}")
+        work.keep_only(f"ptr{k}")
     least = ptr.groupBy("parent").agg(F.least(F.min("v"), F.col("parent")).alias("g"))
     least = work.save(least, "least")
     named = skew_left_join(ptr, least, "parent", hot_keys(ptr, "parent")).select(F.col("v").alias(member), F.col("g").alias(group))

@@ -88,4 +88,6 @@ def truths(df: DataFrame, group: str, fields: tuple[str, ...], source: list[str]
         belief = votes.join(quality, "s").groupBy(*fact).agg((1 / (1 + F.exp(-F.sum(weight)))).alias("p"))
         if k:
             work.drop(f"belief{k - 1}")
+    belief = work.save(belief, "last")
+    work.keep_only("last")
     return belief.select(F.col("g").alias(group), "field", "value", F.round("p", 6).alias("probability"), (F.col("p") >= keep).alias("kept"))
