@@ -25,15 +25,20 @@ SIGNS = r"[^\p{L}\p{N}\p{M}]+"
 BETWEEN = "\u0001"
 
 
+def folded(c: Column) -> Column:
+    """Lower case, with the letters that have two lower-case forms brought to one."""
+    return F.replace(F.translate(F.lower(c), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+
+
 def plain_text_key(c: Column) -> Column:
     """Letters and digits in order, lower case; a cell of signs only is compared by its signs."""
-    bare = F.regexp_replace(F.lower(c), SIGNS, "")
+    bare = F.regexp_replace(folded(c), SIGNS, "")
     return F.when(bare != "", bare).otherwise(F.regexp_replace(c, r"[\s\p{Z}]+", ""))
 
 
 def any_order_key(c: Column) -> Column:
     """As ``plain_text_key``, with the words in sorted order: parts of a cell may stand in any order."""
-    words = F.array_sort(F.filter(F.split(F.lower(c), SIGNS, -1), lambda w: w != ""))
+    words = F.array_sort(F.filter(F.split(folded(c), SIGNS, -1), lambda w: w != ""))
     return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(F.regexp_replace(c, r"[\s\p{Z}]+", ""))
 
 

@@ -14,9 +14,11 @@ from .layouts import activity_copies, activity_records
 from .leaks import leaked_items
 from .lookalikes import lookalike_cells
 from .names import variant_pairs
+from .oracle import SQL
 from .places import venue_places
 from .survivors import FIELDS, artist_survivors, truths
 
+__all__ = ["QUERIES", "SQL"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 

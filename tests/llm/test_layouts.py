@@ -28,9 +28,11 @@ def test_layouts_of_one_record(spark):
         ("D", "l", "…", "Y", "2000"),
         ("E", "l", " … ", "Y", "2000"),
         ("F", "l", "?", "Y", "2000"),
+        ("G", "l", "ΦΩΣ Straße", "Z", "2001"),
+        ("H", "l", "Φως: STRASSE", "z", "2001"),
     ])
-    assert rows(activity_copies(df)) == [("1", "2"), ("1", "3"), ("D", "E")]
-    assert rows(activity_records(df)) == [("1", 3), ("D", 2)]
+    assert rows(activity_copies(df)) == [("1", "2"), ("1", "3"), ("D", "E"), ("G", "H")]
+    assert rows(activity_records(df)) == [("1", 3), ("D", 2), ("G", 2)]
     assert activity_copies(df.limit(0)).count() == 0
 
 
