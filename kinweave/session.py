@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .shipping import ship
+
 #: Settings every operator assumes. Shuffle partitions are left to AQE coalescing.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,4 +26,5 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra:
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
