@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 #: Folder of the public vocabulary files; a parameter of every entry point.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -155,5 +157,6 @@ def encoded(docs: DataFrame, doc_id: str, text: str, path: str = f"{TOKENIZER_DI
                 flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
 
+    ship(docs.sparkSession)
     src = docs.select(doc_id, text)
     return src.mapInArrow(run, f"doc_id {src.schema[doc_id].dataType.simpleString()}, ids array<int>")

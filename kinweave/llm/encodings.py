@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Code point ranges of the characters texts are expected to hold.
 REPERTOIRE = (
     (0x0080, 0x0180), (0x0192, 0x0193), (0x02B0, 0x0300), (0x0370, 0x0530), (0x1E00, 0x1F00), (0x2010, 0x2050), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2190, 0x2200), (0x2200, 0x2300),
@@ -162,6 +164,7 @@ def restored_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     shows that bytes are gone. Null and empty texts, and texts without garbled
     spans, give no row. No shuffle; texts are read whole.
     """
+    ship(docs.sparkSession)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..storage import Scratch
 
 #: Units a year may carry.
@@ -97,6 +98,7 @@ def copies_of_records(df: DataFrame, row_id: str, key: Column) -> DataFrame:
     Rows with a null key or id are left out. Repeated ids give repeated rows. An
     empty table gives none; other columns are ignored.
     """
+    ship(df.sparkSession)
     work = Scratch(df.sparkSession, "copies")
     rows = df.select(key.alias("key"), F.col(row_id).alias("id")).filter(F.col("key").isNotNull() & F.col("id").isNotNull())
     order = [F.xxhash64("key"), F.col("key"), F.col("id")]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Successive words that make a leak.
 LEAK_WORDS = 12
 #: Words of a block.
@@ -76,6 +78,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     shuffled.
     """
     spark = docs.sparkSession
+    ship(spark)
     size = items.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+")))).first()[0] or 0
     if size > MAX_ITEM_WORDS:
         raise ValueError(f"items hold {size} words; search them in parts of at most {MAX_ITEM_WORDS}")

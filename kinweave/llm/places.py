@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.split import VENUE_MAY_SPLIT, venue_values
+from ..shipping import ship
 from .lookalikes import LOOK_ALIKE, character_map
 
 #: The reference list is held in every task; a longer one is refused rather than broadcast.
@@ -213,6 +214,7 @@ def venue_places(rows: DataFrame, row_id: str, venue: str, reference: DataFrame)
     is the one side held in every task; its size is checked. No shuffle.
     """
     spark = rows.sparkSession
+    ship(spark)
     entries = reference.filter(F.col("name").isNotNull() & F.col("canonical").isNotNull()).select("name", "canonical", "country", F.col("population").cast("long")).distinct()
     if (n := entries.count()) > MAX_ENTRIES:
         raise ValueError(f"the reference list holds {n} entries; at most {MAX_ENTRIES} are held in a task")
