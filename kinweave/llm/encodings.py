@@ -31,6 +31,8 @@ PASSES = 4
 LOST = "�"
 HIGH = re.compile("[\u00a0-þŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™\u0080-\u009f]{2,}")
 IDEOGRAPH = re.compile("[一-鿿豈-﫿]")
+#: Punctuation of the Korean double-byte code.
+SIGNS = frozenset("、。·‥…¨〃―∥～‘’“”〔〕〈〉《》「」『』【】±×÷°′″℃☆★○●◎◇◆□■△▲▽▼→←↑↓")
 NON_ASCII = re.compile("[^\x00-\x7f]{2,}")
 #: Texts that hold none of these cannot be garbled by any of the pairs.
 MAY_BE_GARBLED = r"[\x{80}-\x{9F}\x{FFFD}\x{F900}-\x{FAFF}]|[\x{C2}-\x{F4}\x{221A}\x{152}\x{201A}\x{2248}\x{192}\x{2030}\x{178}\x{2044}\x{2039}\x{203A}\x{FB01}\x{FB02}\x{2021}\x{201E}\x{131}\x{2C6}\x{2DC}\x{AF}\x{F8FF}][\x{A0}-\x{BF}\x{80}-\x{9F}\x{152}\x{153}\x{160}\x{161}\x{178}\x{17D}\x{17E}\x{192}\x{2C6}\x{2DC}\x{2013}\x{2014}\x{2018}-\x{201E}\x{2020}-\x{2022}\x{2026}\x{2030}\x{2039}\x{203A}\x{20AC}\x{2122}]|[\x{B0}-\x{C8}][\x{A1}-\x{FE}]|[\x{221A}\x{152}\x{201A}\x{CC}-\x{CF}\x{2248}\x{192}][\x{80}-\x{2300}\x{F8FF}\x{FB01}\x{FB02}]|[\x{4E00}-\x{9FFF}]"
@@ -90,8 +92,8 @@ def _replaced(text: str, found: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def _as_hangul(run: str) -> str | None:
-    """The run re-read as Korean double bytes, if it is wholly that and mostly syllables."""
+def _as_double_bytes(run: str) -> str | None:
+    """The run re-read as Korean double bytes, if it is wholly syllables and the code's signs of punctuation."""
     data = _bytes_of(run)
     if data is None:
         return None
@@ -99,8 +101,14 @@ def _as_hangul(run: str) -> str | None:
         s = data.decode("cp949")
     except UnicodeDecodeError:
         return None
-    n = sum(0xAC00 <= ord(c) <= 0xD7A3 for c in s)
-    return s if len(s) * 2 == len(data) and n * 2 >= len(s) else None
+    whole = len(s) * 2 == len(data) and all(0xAC00 <= ord(c) <= 0xD7A3 or c in SIGNS for c in s)
+    return s if whole else None
+
+
+def _as_hangul(run: str) -> str | None:
+    """As ``_as_double_bytes``, for runs of at least half syllables."""
+    s = _as_double_bytes(run)
+    return s if s and sum(0xAC00 <= ord(c) <= 0xD7A3 for c in s) * 2 >= len(s) else None
 
 
 def _is_utf8(run: str) -> bool:
@@ -145,7 +153,7 @@ def restored_text(text: str) -> str:
     for k in range(PASSES):
         covered, found = max((_matches(text, enc) for enc in READ_AS), key=lambda m: m[0])
         if k == 0 and _double_bytes(text) > covered:
-            text = HIGH.sub(lambda m: _as_hangul(m[0]) or m[0], text)
+            text = HIGH.sub(lambda m: _as_double_bytes(m[0]) or m[0], text)
         elif covered:
             text = _replaced(text, found)
         else:
