@@ -15,36 +15,31 @@ HEADING = re.compile(r"^(?:#{1,6}\s+\S.*|[^\n.!?]{1,40}:?)$")
 def pieces(text: str, most: int = 4000) -> list[str]:
     """Pieces of at most ``most`` characters, cut at blank lines, then lines, then anywhere; a heading is repeated in its later pieces."""
     out: list[str] = []
-    heading, current = "", ""
+    heading, current, fresh = "", "", False
 
     def close() -> None:
-        nonlocal current
-        if current.strip() and current.strip() != heading:
+        """End the piece, unless it holds no more than a repeated heading."""
+        nonlocal current, fresh
+        if fresh and current.strip():
             out.append(current.strip())
-        current = ""
+        current = heading if len(heading) + 1 < most else ""
+        fresh = False
 
     for para in re.split(r"\n\s*\n", text):
         first = para.strip().split("\n", 1)[0]
-        new = HEADING.match(first) and "\n" in para.strip() or (HEADING.match(first) and len(first) < 40)
-        for line in [para] if len(para) + len(current) + 2 <= most else para.split("\n"):
-            while line:
-                room = most - len(current) - 1
-                if len(line) <= room:
-                    current += ("\n" if current else "") + line
-                    break
-                if current.strip() and current.strip() != heading:
-                    close()
-                    current = heading
-                    if len(current) + 1 >= most:
-                        current = ""
-                    continue
-                cut = max(1, room)
-                current += ("\n" if current else "") + line[:cut]
-                line = line[cut:]
+        if current and len(current) + len(para) + 2 > most and fresh:
+            close()
+        for line in [para] if len(current) + len(para) + 2 <= most else para.split("\n"):
+            if fresh and len(current) + len(line) + 1 > most:
                 close()
-                current = heading if len(heading) + 1 < most else ""
-        current += "\n"
-        if new:
+            while len(current) + len(line) + 1 > most:
+                room = max(1, most - len(current) - 1)
+                current, fresh, line = f"{current}\n{line[:room]}" if current else line[:room], True, line[room:]
+                close()
+            if line.strip():
+                current, fresh = f"{current}\n{line}" if current else line, True
+        current += "\n" if current else ""
+        if HEADING.match(first) and len(first) < 60:
             heading = first
     close()
     return out

@@ -30,18 +30,18 @@ def age_grid(rows: DataFrame, entity: str, year: str, measure: Column, ages: lis
 
 def dominant(df: DataFrame, group: list[str], value: str, least: float = 0.9) -> DataFrame:
     """(*group, value, share): the most frequent value, ties to the smallest, null where its share is below ``least``."""
-    n = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy(*group).agg(F.max("n").alias("top"), F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias("v"), F.sum("n").alias("total"))
-    share = F.col("top") / F.col("total")
-    return best.select(*group, F.when(share >= least, F.col("v")).alias(value), F.round(share, 9).alias("share"))
+    n = df.groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    best = n.groupBy(*group).agg(F.max("__n").alias("__top"), F.min_by("__v", F.struct(-F.col("__n"), F.col("__v"))).alias("__b"), F.sum("__n").alias("__all"))
+    share = F.col("__top") / F.col("__all")
+    return best.select(*group, F.when(share >= least, F.col("__b")).alias(value), F.round(share, 9).alias("share"))
 
 
 def unique_top(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(*group, value): the most frequent value, null on a tie."""
-    n = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    top = n.groupBy(*group).agg(F.max("n").alias("top"))
-    got = n.join(top, group).filter("n = top").groupBy(*group).agg(F.count(F.lit(1)).alias("k"), F.min(value).alias("v"))
-    return got.select(*group, F.when(F.col("k") == 1, F.col("v")).alias(value))
+    n = df.groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    top = n.groupBy(*group).agg(F.max(F.struct("__n")).alias("__t"), F.min_by("__v", F.struct(-F.col("__n"), F.col("__v"))).alias("__b"))
+    ties = n.join(top, group).filter(F.col("__n") == F.col("__t.__n")).groupBy(*group).agg(F.count(F.lit(1)).alias("__k"), F.min("__b").alias("__b"))
+    return ties.select(*group, F.when(F.col("__k") == 1, F.col("__b")).alias(value))
 
 
 def mix_bucket(shares: dict[str, Column], n: Column) -> Column:

@@ -28,21 +28,23 @@ def supported_pairs(df: DataFrame, a: Column, b: Column, entity: str, least: int
 
 def elected_names(df: DataFrame, group: str, name: str) -> DataFrame:
     """(group, name, rows, spellings): the most frequent spelling of each group; ties to the longer, then the smaller."""
-    n = df.groupBy(group, name).agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy(group).agg(F.min_by(name, F.struct(-F.col("n"), -F.length(name), F.col(name))).alias(name), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("spellings"))
+    n = df.groupBy(F.col(group).alias("__g"), F.col(name).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    best = n.groupBy("__g").agg(F.min_by("__v", F.struct(-F.col("__n"), -F.length("__v"), F.col("__v"))).alias("__b"), F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("spellings"))
+    return best.select(F.col("__g").alias(group), F.col("__b").alias(name), "rows", "spellings")
 
 
 def majority(df: DataFrame, group: str, vote: str, least: float = 0.5, votes: int = 1) -> DataFrame:
     """(group, vote): the vote of at least ``least`` of all rows of the group, with ``votes`` or more votes; ties to the smaller."""
-    n = df.groupBy(group, vote).agg(F.count(F.lit(1)).alias("n"))
-    best = n.groupBy(group).agg(F.sum("n").alias("all"), F.min_by(vote, F.when(F.col(vote).isNotNull(), F.struct(-F.col("n"), F.col(vote)))).alias("v"), F.max(F.when(F.col(vote).isNotNull(), F.col("n"))).alias("top"))
-    return best.filter((F.col("top") >= F.col("all") * least) & (F.col("top") >= votes)).select(group, F.col("v").alias(vote))
+    n = df.groupBy(F.col(group).alias("__g"), F.col(vote).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    voted = F.col("__v").isNotNull()
+    best = n.groupBy("__g").agg(F.sum("__n").alias("__all"), F.min_by("__v", F.when(voted, F.struct(-F.col("__n"), F.col("__v")))).alias("__b"), F.max(F.when(voted, F.col("__n"))).alias("__top"))
+    return best.filter((F.col("__top") >= F.col("__all") * least) & (F.col("__top") >= votes)).select(F.col("__g").alias(group), F.col("__b").alias(vote))
 
 
 def unanimous(df: DataFrame, group: str, vote: str, votes: int = 10) -> DataFrame:
     """(group, vote): groups whose rows with a vote all agree, with at least ``votes`` of them."""
-    g = df.filter(F.col(vote).isNotNull()).groupBy(group).agg(F.countDistinct(vote).alias("k"), F.count(F.lit(1)).alias("n"), F.min(vote).alias(vote))
-    return g.filter((F.col("k") == 1) & (F.col("n") >= votes)).select(group, vote)
+    g = df.filter(F.col(vote).isNotNull()).groupBy(F.col(group).alias("__g")).agg(F.countDistinct(vote).alias("__k"), F.count(F.lit(1)).alias("__n"), F.min(vote).alias("__v"))
+    return g.filter((F.col("__k") == 1) & (F.col("__n") >= votes)).select(F.col("__g").alias(group), F.col("__v").alias(vote))
 
 
 def numbered(entities: DataFrame, order: list[Column], key: str, prefix: str, width: int = 6) -> DataFrame:
