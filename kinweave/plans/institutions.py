@@ -47,7 +47,10 @@ def alias_support(s: SparkSession, d: str) -> DataFrame:
     return it.supported_pairs(a.filter("x <> '' AND y <> ''"), F.col("x"), F.col("y"), "ledger_id")
 
 
-@query("exact_places")
+PARTS = r"list_filter(list_transform(regexp_split_to_array(venue, '[;；|｜、→\n\r,，()（）/]|\s[-–—]\s'), lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}]+', '', 'g'))), lambda x: x <> '')"
+
+
+@query("exact_places", f"WITH ref AS (SELECT DISTINCT {KEY.format('name')} AS k, canonical, country FROM place_names), x AS (SELECT activity_id, generate_subscripts(z, 1) AS pos, unnest(z) AS k FROM (SELECT activity_id, {PARTS} AS z FROM activities WHERE venue IS NOT NULL)) SELECT activity_id, canonical, country FROM (SELECT x.activity_id, canonical, country, row_number() OVER (PARTITION BY x.activity_id ORDER BY pos) AS n FROM x JOIN ref USING (k) WHERE k <> '') WHERE n = 1")
 def exact_places(s: SparkSession, d: str) -> DataFrame:
     """Rows with a fragment that names a listed place letter by letter."""
     return it.placed(t(s, d, "activities"), "activity_id", vn.fragments(F.col("venue")), t(s, d, "place_names"), "name", ["canonical", "country"])

@@ -39,14 +39,23 @@ def evidence(s: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
     return names, [site, place]
 
 
-@query("gated_merges")
+SHARED = "('sites.google.com', 'github.com', 'vimeo.com', 'youtube.com', 'behance.net', 'notion.site', 'blogspot.com', 'wordpress.com')"
+HOST = r"regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]+)', 1), '^www\.', '')"
+PART = r"regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+/([^/?#]+)', 1)"
+SITE = f"CASE WHEN {HOST} IN {SHARED} AND {PART} <> '' THEN {HOST} || '/' || {PART} ELSE {HOST} END"
+GATED = f"""WITH p AS (SELECT *, array_to_string(regexp_extract_all(name_ko, '[가-힣]+'), '') AS hk, {KEY.format('name_en')} AS ek FROM artists), nk AS (SELECT ledger_id AS r, unnest(['k' || hk, 'e' || ek]) AS key FROM p), nh AS (SELECT key, min(r) AS h FROM nk WHERE length(key) > 1 GROUP BY 1 HAVING count(*) > 1), c AS (SELECT DISTINCT nh.h AS src, nk.r AS dst FROM nk JOIN nh USING (key) WHERE nk.r <> nh.h),
+ev AS (SELECT ledger_id AS r, 0 AS o, 'E1 site' AS rule, concat_ws('|', nullif({SITE}, ''), hk, ek) AS key FROM p UNION ALL SELECT ledger_id, 1, 'E2 attributes', concat_ws('|', active_since, region, field, hk, ek) FROM p), eh AS (SELECT rule, key, min(r) AS h FROM ev WHERE key <> '' GROUP BY 1, 2 HAVING count(*) > 1),
+e AS (SELECT eh.h AS src, ev.r AS dst, ev.o, ev.rule, ev.key AS evidence FROM ev JOIN eh ON ev.rule = eh.rule AND ev.key = eh.key WHERE ev.r <> eh.h), b AS (SELECT src, dst, rule, evidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY o, rule, evidence) AS k FROM e) WHERE k = 1)"""
+
+
+@query("gated_merges", f"{GATED} SELECT c.src, c.dst, b.rule, b.evidence FROM c JOIN b ON c.src = b.src AND c.dst = b.dst")
 def gated_merges(s: SparkSession, d: str) -> DataFrame:
     """Name candidates that also have evidence, with the rule that carries them."""
     c, e = evidence(s, d)
     return ln.gated(c, e)[0]
 
 
-@query("review_queue")
+@query("review_queue", f"{GATED} SELECT c.src, c.dst FROM c LEFT JOIN b ON c.src = b.src AND c.dst = b.dst WHERE b.src IS NULL")
 def review_queue(s: SparkSession, d: str) -> DataFrame:
     c, e = evidence(s, d)
     return ln.gated(c, e)[1]

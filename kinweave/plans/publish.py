@@ -158,7 +158,7 @@ def shared_value_mask(s: SparkSession, d: str) -> DataFrame:
     return se.shared_only(t(s, d, "activities").select("activity_id", "ledger_id", "venue"), "venue", "ledger_id").select("activity_id", "venue")
 
 
-@query("search_tokens")
+@query("search_tokens", """WITH t AS (SELECT lower(title) AS s FROM activities), r AS (SELECT list_distinct(list_concat(regexp_extract_all(s, '[a-z0-9]{2,}|[가-힣]{2,}'), flatten(list_transform(regexp_extract_all(s, '[가-힣]{3,}'), lambda w: list_transform(range(1, length(w)), lambda i: substr(w, i, 2)))))) AS v FROM t) SELECT token, count(*) AS n FROM (SELECT unnest(v) AS token FROM r) GROUP BY 1""")
 def search_tokens(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "activities").select(F.explode(tokenize(F.col("title"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 

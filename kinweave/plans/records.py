@@ -93,7 +93,11 @@ def shared_name_groups(s: SparkSession, d: str) -> DataFrame:
     return k.join(hub, "key").select("id", "root")
 
 
-@query("connected_components")
+COMPONENTS = rf"""WITH RECURSIVE k AS (SELECT id, key FROM (SELECT ledger_id AS id, unnest(['k:' || array_to_string(regexp_extract_all(name_ko, '[가-힣]+'), ''), 'e:' || {KEY.format("name_en")}, 'g:' || gy_id]) AS key FROM artists) WHERE length(key) > 2), h AS (SELECT key, min(id) AS h FROM k GROUP BY 1 HAVING count(*) > 1),
+e AS (SELECT k.id AS a, h.h AS b FROM k JOIN h USING (key) WHERE k.id <> h.h UNION SELECT h.h, k.id FROM k JOIN h USING (key) WHERE k.id <> h.h), r(id, g) AS (SELECT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id WHERE r.g < e.b) SELECT id, min(g) AS root FROM r GROUP BY 1"""
+
+
+@query("connected_components", COMPONENTS)
 def connected_components(s: SparkSession, d: str) -> DataFrame:
     """Artists connected by equal Hangul or Latin name keys or a published id, over star edges."""
     a = t(s, d, "artists")

@@ -33,7 +33,9 @@ def url_keys(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "activities").select("activity_id", ur.domain_of(F.col("source_url")).alias("host"))
 
 
-@query("surt_keys")
+@query("surt_keys", r"""WITH u AS (SELECT activity_id, lower(trim(source_url)) AS u FROM activities), x AS (SELECT activity_id, u, regexp_replace(regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]+)', 1), '^www\.', '') AS h FROM u)
+SELECT activity_id, array_to_string(list_reverse(string_split(h, '.')), ',') || ')' || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+(/[^?#]*)?', 1) AS surt, CASE WHEN h IN ('sites.google.com', 'github.com', 'vimeo.com', 'youtube.com', 'behance.net', 'notion.site', 'blogspot.com', 'wordpress.com') AND regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+/([^/?#]+)', 1) <> '' THEN h || '/' || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+/([^/?#]+)', 1) ELSE h END AS site,
+CASE WHEN u IS NULL THEN 'web' WHEN regexp_matches(u, 'docs\.google\.com/document') THEN 'gdoc' WHEN regexp_matches(u, 'docs\.google\.com/spreadsheets') THEN 'gsheet' WHEN regexp_matches(u, 'drive\.google\.com') THEN 'gdrive' WHEN regexp_matches(u, '\.pdf([?#]|$)') THEN 'pdf' WHEN regexp_matches(u, '\.docx([?#]|$)') THEN 'docx' WHEN regexp_matches(u, '\.hwpx?([?#]|$)') THEN 'hwp' ELSE 'web' END AS kind, h IN ('instagram.com', 'facebook.com', 'twitter.com', 'x.com', 'linkedin.com', 'tiktok.com', 'threads.net') AS social FROM x""")
 def surt_keys(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "activities").select("activity_id", ur.surt(F.col("source_url")).alias("surt"), ur.url_key(F.col("source_url")).alias("site"), ur.detect_kind(F.col("source_url")).alias("kind"), ur.is_social(F.col("source_url")).alias("social"))
 
