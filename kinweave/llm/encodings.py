@@ -34,8 +34,8 @@ IDEOGRAPH = re.compile("[一-鿿豈-﫿]")
 #: Punctuation of the Korean double-byte code.
 SIGNS = frozenset("、。·‥…¨〃―∥～‘’“”〔〕〈〉《》「」『』【】±×÷°′″℃☆★○●◎◇◆□■△▲▽▼→←↑↓")
 NON_ASCII = re.compile("[^\x00-\x7f]{2,}")
-#: Texts that hold none of these cannot be garbled by any of the pairs.
-MAY_BE_GARBLED = r"[\x{80}-\x{9F}\x{FFFD}\x{F900}-\x{FAFF}]|[\x{C2}-\x{F4}\x{221A}\x{152}\x{201A}\x{2248}\x{192}\x{2030}\x{178}\x{2044}\x{2039}\x{203A}\x{FB01}\x{FB02}\x{2021}\x{201E}\x{131}\x{2C6}\x{2DC}\x{AF}\x{F8FF}][\x{A0}-\x{BF}\x{80}-\x{9F}\x{152}\x{153}\x{160}\x{161}\x{178}\x{17D}\x{17E}\x{192}\x{2C6}\x{2DC}\x{2013}\x{2014}\x{2018}-\x{201E}\x{2020}-\x{2022}\x{2026}\x{2030}\x{2039}\x{203A}\x{20AC}\x{2122}]|[\x{B0}-\x{C8}][\x{A1}-\x{FE}]|[\x{221A}\x{152}\x{201A}\x{CC}-\x{CF}\x{2248}\x{192}][\x{80}-\x{2300}\x{F8FF}\x{FB01}\x{FB02}]|[\x{4E00}-\x{9FFF}]"
+#: Texts of ASCII, Hangul and ordinary quotes and dashes alone cannot be garbled by any of the pairs.
+MAY_BE_GARBLED = r"[^\x00-\x7F\x{AC00}-\x{D7A3}\x{2018}-\x{201D}\x{2013}\x{2014}]"
 
 
 def _read(data: bytes, encoding: str) -> str:
