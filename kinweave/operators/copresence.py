@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
+
 #: Members a block of a large group may hold; pairs of blocks are the unit of work.
 BLOCK = 1000
 
@@ -21,10 +23,12 @@ def presences(df: DataFrame, entity: str, group: list[Column], keep: Column) ->
 def pairs_of(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(src, dst), src < dst: distinct unordered pairs that share at least one group.
 
-    The pairs of a group are its definition of the result, but no task holds a
+    The pairs of a group are the result by definition, but no task holds a
     group: a group of n members is cut into ceil(n / block) blocks by hash, and
-    every pair of blocks is joined on its own key. Groups of one give no pair.
+    every pair of blocks is joined on its own key. Groups of one give no pair. The
+    members are written once, so the source is scanned once.
     """
+    members = Scratch(members.sparkSession, "pairs").save(members.select("grp", "entity"), "members")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     m = members.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     m = m.select("grp", "entity", "blocks", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int").alias("b"))
@@ -63,6 +67,7 @@ def layers(base: DataFrame, entity: str, keep: Column, group: dict[str, list[Col
     for k, (name, cols) in enumerate(group.items()):
         ties = pairs_of(presences(base, entity, cols, keep)).select("src", "dst", F.lit(k).alias("k"), F.lit(name).alias("layer"))
         seen = ties if seen is None else seen.unionByName(ties)
+    seen = Scratch(base.sparkSession, "layers").save(seen, "seen")
     first = seen.groupBy("src", "dst").agg(F.min("k").alias("k0"))
     added = first.groupBy(F.col("k0").alias("k")).agg(F.count(F.lit(1)).alias("added"))
     total = seen.groupBy("k", "layer").agg(F.count(F.lit(1)).alias("ties"))
