@@ -39,6 +39,33 @@ def gated(candidates: DataFrame, evidence: list[DataFrame], blocked: DataFrame |
     return j.filter("e IS NOT NULL").select("src", "dst", "e.rule", "e.evidence"), j.filter("e IS NULL").select("src", "dst")
 
 
+def gated_classes(df: DataFrame, record: str, names: Column, evidence: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """(merges, queue) of all pairs of records that share a name key, without building the pairs.
+
+    ``evidence`` is (rule, key) in order of trust. Merges (src, dst, rule,
+    evidence) tie the records of each (name key, evidence key) to the smallest of
+    them; their components are those of all pairs that share both, and the rule is
+    the first that the two records have in common. The queue (src, dst) ties the
+    smallest record of each other component of a name key to the smallest of the
+    key, so every component without evidence for the name stands in it.
+    """
+    work = Scratch(df.sparkSession, "gated")
+    found = F.array_compact(F.array(*[F.when(key != "", F.struct(F.lit(k).alias("k"), F.lit(rule).alias("rule"), key.alias("evidence"))) for k, (rule, key) in enumerate(evidence)]))
+    k = df.select(F.col(record).alias("r"), F.explode(F.array_distinct(names)).alias("name"), found.alias("ev")).filter("name IS NOT NULL AND name <> ''")
+    k = work.save(k, "keys")
+    sub = k.select("r", "ev", "name", F.explode("ev").alias("e")).select("r", "ev", F.to_json(F.struct("name", "e.k", "e.evidence")).alias("key"))
+    hub = sub.groupBy("key").agg(F.min_by(F.struct(F.col("r").alias("h"), F.col("ev").alias("hev")), "r").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub.h", "hub.hev")
+    j = skew_left_join(sub, hub, "key", hot_keys(sub, "key"), "inner").filter("r <> h")
+    best = F.array_min(F.array_intersect("hev", "ev"))
+    merges = j.select(F.col("h").alias("src"), F.col("r").alias("dst"), best.alias("e")).select("src", "dst", "e.rule", "e.evidence").distinct()
+    merges = work.save(merges, "merges")
+    labelled = k.select("r", "name").join(components(merges, "src", "dst").withColumnRenamed("id", "r"), "r", "left")
+    reps = labelled.groupBy("name", F.coalesce("root", "r").alias("root")).agg(F.min("r").alias("rep"))
+    least = reps.groupBy("name").agg(F.min("rep").alias("src"))
+    queue = skew_left_join(reps.select("name", "rep"), least, "name", hot_keys(reps, "name"), "inner").filter("rep <> src")
+    return merges, queue.select("src", F.col("rep").alias("dst")).distinct()
+
+
 def survivors(records: DataFrame, record: str, weight: str, merges: DataFrame) -> DataFrame:
     """(dropped, kept): of each merged group the record of highest weight survives, ties to the smallest id."""
     comp = components(merges, "src", "dst")

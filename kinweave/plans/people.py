@@ -31,12 +31,13 @@ def same_script_stars(s: SparkSession, d: str) -> DataFrame:
     return ln.key_stars(people(s, d), "ledger_id", F.array(match_key(F.col("name_en"))), "name").select("src", "dst", F.col("evidence").alias("key"))
 
 
-def evidence(s: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
-    p = people(s, d)
-    names = ln.key_stars(p, "ledger_id", F.array(F.concat(F.lit("k"), hangul_compact(F.col("name_ko"))), F.concat(F.lit("e"), match_key(F.col("name_en")))), "name").filter("length(evidence) > 1")
-    site = ln.key_stars(p, "ledger_id", F.array(F.concat_ws("|", F.nullif(url_key(F.col("source_url")), F.lit("")), hangul_compact(F.col("name_ko")), match_key(F.col("name_en")))), "E1 site")
-    place = ln.key_stars(p, "ledger_id", F.array(F.concat_ws("|", "active_since", "region", "field", hangul_compact(F.col("name_ko")), match_key(F.col("name_en")))), "E2 attributes")
-    return names, [site, place]
+def gates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(merges, queue) of all rows that share a name in either script."""
+    ko, en = hangul_compact(F.col("name_ko")), match_key(F.col("name_en"))
+    names = F.filter(F.array(F.concat(F.lit("k"), ko), F.concat(F.lit("e"), en)), lambda x: F.length(x) > 1)
+    site = F.concat_ws("|", F.nullif(url_key(F.col("source_url")), F.lit("")), ko, en)
+    place = F.concat_ws("|", "active_since", "region", "field", ko, en)
+    return ln.gated_classes(people(s, d), "ledger_id", names, [("E1 site", site), ("E2 attributes", place)])
 
 
 SHARED = "('sites.google.com', 'github.com', 'vimeo.com', 'youtube.com', 'behance.net', 'notion.site', 'blogspot.com', 'wordpress.com')"
@@ -50,15 +51,14 @@ e AS (SELECT eh.h AS src, ev.r AS dst, ev.o, ev.rule, ev.key AS evidence FROM ev
 
 @query("gated_merges", f"{GATED} SELECT c.src, c.dst, b.rule, b.evidence FROM c JOIN b ON c.src = b.src AND c.dst = b.dst")
 def gated_merges(s: SparkSession, d: str) -> DataFrame:
-    """Name candidates that also have evidence, with the rule that carries them."""
-    c, e = evidence(s, d)
-    return ln.gated(c, e)[0]
+    """Rows of one name that also share evidence, tied to the smallest of them, with the rule that carries them."""
+    return gates(s, d)[0]
 
 
 @query("review_queue", f"{GATED} SELECT c.src, c.dst FROM c LEFT JOIN b ON c.src = b.src AND c.dst = b.dst WHERE b.src IS NULL")
 def review_queue(s: SparkSession, d: str) -> DataFrame:
-    c, e = evidence(s, d)
-    return ln.gated(c, e)[1]
+    """Rows of one name without evidence: each group of merged rows once, against the smallest row of the name."""
+    return gates(s, d)[1]
 
 
 @query("merge_survivors")
