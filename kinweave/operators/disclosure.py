@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..storage import Scratch
 
 K, DOMINANCE = 10, 0.9
+#: Cells that stand for "missing" and so name nobody.
+NO_NAME = ("-", "--", "?", "n/a", "none", "null", "tbd", "unknown", "미상", "미정", "없음")
+#: Adjacent words of a text that may make up one name.
+SPAN = 6
 
 
 def primary(n: Column, k: int = K) -> Column:
@@ -77,3 +81,42 @@ def leaks(texts: DataFrame, cell: str, secrets: DataFrame, token: str) -> DataFr
     words = texts.withColumn("__w", F.explode(F.array_distinct(F.split(F.lower(cell), r"[^\p{L}\p{N}]+"))))
     hit = words.join(secrets.select(F.lower(token).alias("__w")).distinct(), "__w", "left_semi")
     return hit.drop("__w").distinct()
+
+
+def name_tokens(name: Column) -> Column:
+    """Normalised forms under which a name may be printed: letters and digits of the whole, and of its parts reversed.
+
+    A Hangul name has two or more syllables, a Latin one four or more letters;
+    shorter ones and stand-ins give nothing.
+    """
+    raw = F.regexp_replace(F.lower(name), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    parts = F.split(raw, r"[\s\p{Z}]+")
+    whole, turned = (F.regexp_replace(x, r"[^\p{L}\p{N}]+", "") for x in (raw, F.array_join(F.reverse(parts), "")))
+    hangul, latin = F.regexp_count(whole, F.lit("[가-힣]")) >= 2, F.regexp_count(whole, F.lit("[a-z]")) >= 4
+    found = F.when(latin, F.array_distinct(F.array(whole, turned))).when(hangul, F.array(whole))
+    return F.when(~raw.isin(*NO_NAME), found)
+
+
+def name_leaks(texts: DataFrame, key: str, cell: str, tokens: DataFrame, token: str) -> DataFrame:
+    """(key): texts in which a span of adjacent words, or a part of a URL, is one of the name tokens.
+
+    A span is one word of two or more Hangul syllables or five or more Latin
+    letters (four collide with ordinary words), or up to SPAN words written
+    together, so a name is also found with other spaces. Spans longer than any
+    token are dropped before the join.
+    """
+    known = tokens.select(F.col(token).alias("__w")).filter("__w IS NOT NULL AND __w <> ''").distinct()
+    most = known.agg(F.max(F.length("__w"))).first()[0] or 0
+    words = F.filter(F.split(F.lower(cell), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    links = F.regexp_extract_all(F.lower(cell), F.lit(r"https?://[^\s)>\"]+"), F.lit(0))
+    pieces = F.flatten(F.transform(links, lambda u: F.transform(F.split(F.coalesce(F.try_url_decode(u), u), r"[^\p{L}\p{N}_-]+"), lambda p: F.regexp_replace(p, "[_-]+", ""))))
+    df = texts.filter(F.col(cell).isNotNull()).select(key, words.alias("__s1"), pieces.alias("__u")).withColumn("__words", F.col("__s1"))
+    for n in range(2, SPAN + 1):
+        rest = F.slice("__words", F.lit(n), F.greatest(F.size("__words"), F.lit(1)))
+        # a span past the end or longer than any token is null, and so is all that goes on from it
+        longer = F.zip_with(F.col(f"__s{n - 1}"), rest, lambda a, b: F.when(F.length(a) + F.length(b) <= most, F.concat(a, b)))
+        df = df.withColumn(f"__s{n}", longer)
+    one = F.filter("__s1", lambda w: (F.regexp_count(w, F.lit("[a-z]")) >= 5) | (F.regexp_count(w, F.lit("[가-힣]")) >= 2))
+    spans = F.array_distinct(F.concat(one, "__u", *[F.array_compact(f"__s{n}") for n in range(2, SPAN + 1)]))
+    hit = df.select(key, F.explode(spans).alias("__w")).filter(F.length("__w").between(2, most)).join(known, "__w", "left_semi")
+    return hit.select(key).distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.language import nfc
+from ..functions.split import alias_values
 from ..functions.text import tokenize
 from ..operators import disclosure as dc
 from ..operators import sampling as sm
@@ -52,8 +54,12 @@ def differencing_check(s: SparkSession, d: str) -> DataFrame:
 
 @query("leak_scan", r"WITH tok AS (SELECT DISTINCT lower(name_en) AS w FROM artists WHERE regexp_full_match(name_en, '[A-Za-z]{5,}')) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM tok WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w))")
 def leak_scan(s: SparkSession, d: str) -> DataFrame:
-    tokens = t(s, d, "artists").filter(F.col("name_en").rlike("^[A-Za-z]{5,}$")).select("name_en")
-    return dc.leaks(t(s, d, "documents").select("doc_id", "text"), "text", tokens, "name_en").select("doc_id")
+    """Documents that print a name of a person: either script, aliases too, in either order of its parts."""
+    names = F.flatten(F.array_compact(F.array(F.array("name_ko", "name_en"), alias_values(F.col("aliases")))))
+    tokens = t(s, d, "artists").select(F.explode(names).alias("name")).filter("name IS NOT NULL").distinct()
+    tokens = tokens.select(F.explode(dc.name_tokens(nfc(F.col("name")))).alias("token"))
+    docs = t(s, d, "documents").select("doc_id", nfc(F.col("text")).alias("text"))
+    return dc.name_leaks(docs, "doc_id", "text", tokens, "token")
 
 
 @query("having_k_regions", "SELECT region, count(DISTINCT gy_id) AS people FROM artists GROUP BY 1 HAVING count(DISTINCT gy_id) >= 20")
