@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Scratch
 from .components import components
+from .copresence import pairs_of
 from .joins import hot_keys, skew_left_join
 
 
@@ -24,6 +25,12 @@ def key_stars(df: DataFrame, record: str, keys: Column, rule: str) -> DataFrame:
     return j.select(F.col("h").alias("src"), F.col("r").alias("dst"), F.lit(rule).alias("rule"), F.col("key").alias("evidence"))
 
 
+def block_pairs(df: DataFrame, record: str, keys: Column) -> DataFrame:
+    """(src, dst), src < dst: all pairs of records that share a key, once; large blocks are split."""
+    k = df.select(F.explode(keys).alias("grp"), F.col(record).alias("entity")).filter("grp IS NOT NULL AND grp <> '' AND entity IS NOT NULL").distinct()
+    return pairs_of(k)
+
+
 def gated(candidates: DataFrame, evidence: list[DataFrame], blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(merges, queue): candidate pairs with evidence, first rule first, and those without.
 

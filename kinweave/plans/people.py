@@ -75,12 +75,19 @@ def ambiguous_keys(s: SparkSession, d: str) -> DataFrame:
 
 @query("linkage_probabilities")
 def linkage_probabilities(s: SparkSession, d: str) -> DataFrame:
-    """Match probability of rows against the first row of their published id or name key."""
-    p = people(s, d)
-    stars = ln.key_stars(p, "ledger_id", F.array(F.concat(F.lit("g"), F.col("gy_id")), F.concat(F.lit("e"), match_key(F.col("name_en")))), "block").filter("length(evidence) > 1").select("src", "dst").distinct()
-    a, b = p.select([F.col(c).alias(f"a_{c}") for c in p.columns]), p.select([F.col(c).alias(f"b_{c}") for c in p.columns])
-    j = stars.join(a, F.col("src") == F.col("a_ledger_id")).join(b, F.col("dst") == F.col("b_ledger_id"))
+    """Match probability of all pairs of rows that share a published id or a name in either script."""
+    return link_probabilities(people(s, d))
+
+
+def link_probabilities(p: DataFrame) -> DataFrame:
+    p = p.withColumn("ko", hangul_compact(F.col("name_ko")))
+    keys = F.filter(F.array(F.concat(F.lit("g"), "gy_id"), F.concat(F.lit("k"), "ko"), F.concat(F.lit("e"), match_key(F.col("name_en")))), lambda x: F.length(x) > 1)
+    pairs = ln.block_pairs(p, "ledger_id", keys)
+    cols = ["ledger_id", "ko", "name_en", "active_since", "region", "field"]
+    a, b = p.select([F.col(c).alias(f"a_{c}") for c in cols]), p.select([F.col(c).alias(f"b_{c}") for c in cols])
+    j = pairs.join(a, F.col("src") == F.col("a_ledger_id")).join(b, F.col("dst") == F.col("b_ledger_id"))
     same = lambda c: (F.col(f"a_{c}") == F.col(f"b_{c}")).cast("int")
-    near = F.when(F.col("a_name_en") == F.col("b_name_en"), 2).when(F.levenshtein("a_name_en", "b_name_en", 2).between(0, 2), 1).when(F.col("a_name_en").isNotNull() & F.col("b_name_en").isNotNull(), 0)
-    got = ln.match_weights(j, {"name": near, "since": same("active_since"), "region": same("region"), "field": same("field")})
+    ko, en = F.nullif("a_ko", F.lit("")) == F.nullif("b_ko", F.lit("")), F.col("a_name_en") == F.col("b_name_en")
+    near = F.when(F.coalesce(ko, F.lit(False)) | F.coalesce(en, F.lit(False)), 2).when(F.levenshtein("a_name_en", "b_name_en", 2).between(0, 2), 1).when(ko.isNotNull() | en.isNotNull(), 0)
+    got = ln.match_weights(j.select("src", "dst", near.alias("name"), *[same(c).alias(c) for c in cols[3:]]), {c: F.col(c) for c in ("name", *cols[3:])})
     return got.select("src", "dst", F.round("probability", 6).alias("probability"))
