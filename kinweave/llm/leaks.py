@@ -9,9 +9,13 @@ confirms. Most positions of a document are never looked at.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,73 +27,103 @@ from ..shipping import ship
 LEAK_WORDS = 12
 #: Words of a block.
 BLOCK = 3
-#: Items are held in every task; more than this many words of them is refused rather than broadcast.
-MAX_ITEM_WORDS = 5_000_000
+#: Words of the items one search holds in every task; longer items are searched in several parts, each over all documents.
+PART_WORDS = 1_000_000
 SIGNS = re.compile(r"[^\w\s]+|_+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words without punctuation; composed form, so that accents compare."""
-    t = text.lower()
-    if not t.isascii():
-        t = unicodedata.normalize("NFC", t)
+    """Words without punctuation and without regard to case (as in STRASSE for Straße); composed form, so that accents compare."""
+    t = text.lower() if text.isascii() else unicodedata.normalize("NFC", text.casefold())
     return SIGNS.sub("", t).split()
 
 
 class Patterns:
-    """Shift table over blocks, and the buckets of patterns by their last block."""
+    """Shift table over blocks, and the buckets of patterns by their last block.
 
-    def __init__(self, items: list[tuple[int, str]], m: int = LEAK_WORDS, b: int = BLOCK):
+    A pattern is kept as the place where it starts in the words of all items laid
+    end to end, so its words are stored once however many patterns hold them.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], m: int = LEAK_WORDS, b: int = BLOCK):
         self.m, self.b = m, min(b, m)
-        self.shift: dict[tuple[str, ...], int] = {}
-        self.bucket: dict[tuple[str, ...], dict[tuple[str, ...], set[int]]] = {}
+        self.words: list[str] = []
+        self.starts: list[int] = []
+        self.items: list[object] = []
+        self.shift: dict[int, int] = {}
+        self.bucket: dict[int, list[int]] = {}
+        same: dict[str, str] = {}
         for item, text in items:
-            w = words_of(text or "")
-            for at in range(len(w) - m + 1):
-                run = tuple(w[at : at + m])
+            own = [same.setdefault(w, w) for w in words_of(text or "")]
+            if len(own) < m:
+                continue
+            at = len(self.words)
+            self.starts.append(at)
+            self.items.append(item)
+            self.words += own
+            for start in range(len(own) - m + 1):
                 for end in range(self.b, m + 1):
-                    block = run[end - self.b : end]
+                    block = hash(tuple(own[start + end - self.b : start + end]))
                     self.shift[block] = min(self.shift.get(block, m), m - end)
-                self.bucket.setdefault(run[-self.b :], {}).setdefault(run, set()).add(item)
+                self.bucket.setdefault(hash(tuple(own[start + m - self.b : start + m])), []).append(at + start)
 
-    def search(self, text: str) -> set[int]:
+    def search(self, text: str) -> set[object]:
         """Items of which the text holds a pattern."""
         w = words_of(text)
         m, b, found = self.m, self.b, set()
-        shift, bucket, far = self.shift.get, self.bucket, self.m - self.b + 1
+        shift, far = self.shift.get, self.m - self.b + 1
         end, n = m, len(w)
         while end <= n:
-            block = tuple(w[end - b : end])
+            block = hash(tuple(w[end - b : end]))
             jump = shift(block, far)
             if jump:
                 end += jump
                 continue
-            found.update(bucket[block].get(tuple(w[end - m : end]), ()))
+            here = w[end - m : end]
+            for at in self.bucket[block]:
+                if self.words[at : at + m] == here:
+                    found.add(self.items[bisect_right(self.starts, at) - 1])
             end += 1
         return found
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, m: int = LEAK_WORDS) -> DataFrame:
+_held: dict[str, Patterns] = {}
+
+
+def _patterns(key: str, items: list[tuple[object, str]], m: int) -> Patterns:
+    """The patterns of one run, kept by the worker between its tasks."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Patterns(items, m)
+    return _held[key]
+
+
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, m: int = LEAK_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """(doc_id, item_id): the document holds at least ``m`` successive words of the item.
 
     Null and empty texts hold nothing, and items shorter than ``m`` words cannot
     leak. Repeated documents are each reported. The items are the one side held
-    in every task; their size is checked. Documents are read once, whole, and not
-    shuffled.
+    in every task: those of more than ``part_words`` words are cut by their id into
+    parts of about that size, and the documents are searched once for each part.
+    Documents are read whole and not shuffled.
     """
     spark = docs.sparkSession
     ship(spark)
-    size = items.agg(F.sum(F.size(F.split(F.coalesce(F.col(item_text), F.lit("")), r"\s+")))).first()[0] or 0
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"items hold {size} words; search them in parts of at most {MAX_ITEM_WORDS}")
-    held = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).collect()]
-    shared = spark.sparkContext.broadcast(held)
+    items = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    parts = max(1, math.ceil(size / part_words))
+    part = F.pmod(F.xxhash64("item"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [_searched(docs, doc_id, text, items.filter(part == k), m) for k in range(parts)])
+
+
+def _searched(docs: DataFrame, doc_id: str, text: str, items: DataFrame, m: int) -> DataFrame:
+    shared, run_key = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), uuid.uuid4().hex
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    kinds = src.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    kinds = src.schema["doc_id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     item_type = pa.int64() if kinds[1] == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(shared.value, m)
+        patterns = _patterns(run_key, shared.value, m)
         for batch in batches:
             ids, got = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -9,7 +9,6 @@ length allows come back; the closest decides.
 from __future__ import annotations
 
 import re
-import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.split import VENUE_MAY_SPLIT, venue_values
 from ..shipping import ship
-from .lookalikes import LOOK_ALIKE, character_map
+from .lookalikes import Plain, look_alikes
 
 #: The reference list is held in every task; a longer one is refused rather than broadcast.
 MAX_ENTRIES = 500_000
@@ -98,23 +97,14 @@ class Trie:
 class Places:
     """Finds the place a venue text names."""
 
-    def __init__(self, entries: list[tuple[str, str, str, int]]):
+    def __init__(self, entries: list[tuple[str, str, str, int]], look: dict[str, str] | None = None):
         self.trie = Trie(entries)
         self.syllables = {ch for name, *_ in entries for ch in name if "가" <= ch <= "힣"}
         self.hangul_lengths = {len(name) for name, *_ in entries if "가" <= name[:1] <= "힣"}
-        self.same = {ch: "".join(chr(c) for c, _ in to) for ch, _, to in character_map()}
+        self.plain = Plain(look)
         self.typed: dict[tuple[str, str], str | None] = {}
         self.venues: dict[str, str | None] = {}
 
-    def plain(self, s: str) -> str:
-        if s.isascii():
-            return s
-        out = []
-        for w in re.split(r"([\s,:;()/]+)", s):
-            mixed = any(ch in LOOK_ALIKE for ch in w) and re.search("[A-Za-z]", w)
-            out.append("".join(self.same[ch] if ch in self.same and (mixed or ch not in LOOK_ALIKE) else ch for ch in w))
-        return unicodedata.normalize("NFC", "".join(out))
-
     def listed(self, typed: str, country: str = "") -> str | None:
         """Canonical of the closest entry, with and without an administrative ending; ties by country, then population."""
         key = (typed, country)
@@ -197,11 +187,11 @@ class Places:
 _held: dict[str, Places] = {}
 
 
-def _places(key: str, entries: list[tuple[str, str, str, int]]) -> Places:
+def _places(key: str, entries: list[tuple[str, str, str, int]], look: dict[str, str]) -> Places:
     """The matcher of one run, kept by the worker between its tasks."""
     if key not in _held:
         _held.clear()
-        _held[key] = Places(entries)
+        _held[key] = Places(entries, look)
     return _held[key]
 
 
@@ -218,6 +208,7 @@ def venue_places(rows: DataFrame, row_id: str, venue: str, reference: DataFrame)
     entries = reference.filter(F.col("name").isNotNull() & F.col("canonical").isNotNull()).select("name", "canonical", "country", F.col("population").cast("long")).distinct()
     if (n := entries.count()) > MAX_ENTRIES:
         raise ValueError(f"the reference list holds {n} entries; at most {MAX_ENTRIES} are held in a task")
+    look = look_alikes(spark)
     shared, run_key = spark.sparkContext.broadcast([tuple(r) for r in entries.collect()]), uuid.uuid4().hex
     cell = F.col("venue")
     src = rows.select(F.col(row_id).alias("row_id"), F.col(venue).alias("venue")).filter(cell.isNotNull())
@@ -226,7 +217,7 @@ def venue_places(rows: DataFrame, row_id: str, venue: str, reference: DataFrame)
     src = src.select("row_id", one.alias("venue")).filter(cell.isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _places(run_key, shared.value)
+        places = _places(run_key, shared.value, look)
         for batch in batches:
             ids, got = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinweave.llm.lookalikes import character_map, composition_pairs, normalised_cells
+from kinweave.llm.lookalikes import Plain, character_map, composition_pairs, look_alikes, may_differ, normalised_cells
 
 from ..conftest import rows
 
@@ -32,8 +32,8 @@ def test_empty_table_long_text_and_clashing_columns(spark):
     assert normalised_cells(df.limit(0), ["base"], "t").count() == 0
 
 
-def test_tables_are_bounded():
-    assert len(character_map()) < 10_000 and len(composition_pairs()) < 2000
+def test_tables_are_bounded(spark):
+    assert len(character_map(look_alikes(spark))) < 10_000 and len(composition_pairs()) < 2000
 
 
 def test_agrees_with_the_standard_composition(spark):
@@ -49,3 +49,23 @@ def test_agrees_with_the_standard_composition(spark):
     got = plain(spark, texts)
     for i, t in enumerate(texts):
         assert got.get(i, t) == unicodedata.normalize("NFC", t), ascii(t)
+
+
+def test_every_code_point_as_itself_and_decomposed(spark):
+    assigned = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = list(dict.fromkeys(t for ch in assigned for t in (ch, unicodedata.normalize("NFD", ch))))
+    got, want = plain(spark, texts), Plain(look_alikes(spark))
+    assert [(t, got.get(i, t)) for i, t in enumerate(texts) if got.get(i, t) != want(t)] == []
+    assert want("\uff76\uff9e") == "\u30ac" and want("\u30ab\u3099") == "\u30ac"
+
+
+def test_the_filter_lets_every_change_through(spark):
+    look = look_alikes(spark)
+    table = character_map(look)
+    df = spark.createDataFrame([(ch if when != "mixed" else f"ab{ch}",) for ch, when, _ in table], "t string")
+    assert df.filter(~df.t.rlike(may_differ(look, table))).count() == 0
+
+
+def test_letters_of_further_scripts(spark):
+    got = plain(spark, ["R\u0585om", "\u13aa\u13e2dio", "\ua4d0ar", "Caf\u0435\u0301", "non\u2011stop", "\u0561\u0580\u057f", "\u30ac\u30ab\u3099"])
+    assert got == {0: "Room", 1: "APdio", 2: "Bar", 3: "Caf\u00e9", 6: "\u30ac\u30ac"}

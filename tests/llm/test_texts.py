@@ -57,10 +57,18 @@ def test_leaks_of_twelve_words(spark):
     df = spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id bigint, text string, item_id int")
     got = rows(leaked_items(df, "doc_id", "text", items, "item_id", "text"))
     assert got == [(1, 1), (5, 1), (5, 4), (6, 1), (6, 4), (7, 1), (7, 1), (7, 4), (7, 4)]
+    assert rows(leaked_items(df, "doc_id", "text", items, "item_id", "text", part_words=10)) == got
     assert leaked_items(df.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leaked_items(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_case_does_not_matter_where_it_changes_letters(spark):
+    text = "die Straße am großen Fluss ist heute für alle Gäste der Stadt offen"
+    items = spark.createDataFrame([("i", text)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "X " + text.upper() + "!"), (2, text.title())], "doc_id bigint, text string")
+    assert rows(leaked_items(docs, "doc_id", "text", items, "item_id", "text")) == [(1, "i"), (2, "i")]
+
+
 @pytest.mark.parametrize("m,b", [(12, 3), (4, 2), (2, 3), (1, 1)])
 def test_search_against_brute_force(m, b):
     random.seed(m)
