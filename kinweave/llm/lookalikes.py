@@ -47,11 +47,12 @@ def _decomposed(ch: str) -> str:
     cat = unicodedata.category(ch)
     if cat == "Zs" and ch != " ":
         return " "
-    if cat in ("Zl", "Zp", "Pd") or not d or 0xAC00 <= ord(ch) <= 0xD7A3:
+    if cat in ("Zl", "Zp") or not d or 0xAC00 <= ord(ch) <= 0xD7A3:
         return ch
     kind, _, rest = d.partition(" ")
     if kind[0] == "<":
-        if kind not in SAME_LOOK and not 0xFB00 <= ord(ch) <= 0xFB06:
+        # the non-breaking hyphen is one dash among others
+        if kind not in SAME_LOOK and not 0xFB00 <= ord(ch) <= 0xFB06 or (kind, cat) == ("<noBreak>", "Pd"):
             return ch
         codes = rest
     else:
