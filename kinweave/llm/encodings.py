@@ -1,15 +1,17 @@
 """Garbled text from wrong character encodings.
 
 For every pair (true encoding, encoding it was read with) the garbled sequence
-of each character of the repertoire is computed beforehand. One multi-pattern
-automaton finds them; only matched spans are replaced, so correct text around
-them stays. Passes repeat until nothing matches, which undoes double garbling.
+of each assigned character is computed beforehand. Multi-pattern automata find
+them; only matched spans are replaced, so correct text around them stays. Passes
+repeat until nothing matches, which undoes garbling of any depth: every pass
+shortens the text, so they end. Double-byte codes, whose garbled pairs also occur
+by chance, are recognised by runs.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,29 +22,61 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Code point ranges of the characters texts are expected to hold.
-REPERTOIRE = (
-    (0x0080, 0x0180), (0x0192, 0x0193), (0x02B0, 0x0300), (0x0370, 0x0530), (0x1E00, 0x1F00), (0x2010, 0x2050), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2190, 0x2200), (0x2200, 0x2300),
-    (0x2460, 0x2500), (0x25A0, 0x27C0), (0x3000, 0x3100), (0x3130, 0x3190), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xFE0F, 0xFE10), (0xFF00, 0xFFF0), (0x200B, 0x2010), (0x1F300, 0x1FB00),
-)
 #: Encodings UTF-8 bytes are read with by mistake, in order of preference.
 READ_AS = ("cp1252", "latin-1", "mac_roman")
-PASSES = 4
+#: Further ones, whose garbled letters look more like correct text: so many telling spans are needed.
+ALSO_READ_AS = ("cp1250", "cp1251", "cp437", "koi8-r")
+PROOFS = 3
+#: Double-byte codes UTF-8 bytes are read with; beyond the first only runs that come out as Hangul count.
+DOUBLE_READ_AS = ("cp949", "gb18030", "shift_jis", "big5")
 LOST = "�"
 HIGH = re.compile("[\u00a0-þŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™\u0080-\u009f]{2,}")
-IDEOGRAPH = re.compile("[一-鿿豈-﫿]")
+IDEOGRAPH = re.compile("[\u4e00-\u9fff\uf900-\ufaff]")
+HANGUL = re.compile("[가-힣]")
 #: Punctuation of the Korean double-byte code.
 SIGNS = frozenset("、。·‥…¨〃―∥～‘’“”〔〕〈〉《》「」『』【】±×÷°′″℃☆★○●◎◇◆□■△▲▽▼→←↑↓")
 NON_ASCII = re.compile("[^\x00-\x7f]{2,}")
-#: Texts of ASCII, Hangul and ordinary quotes and dashes alone cannot be garbled by any of the pairs.
-MAY_BE_GARBLED = r"[^\x00-\x7F\x{AC00}-\x{D7A3}\x{2018}-\x{201D}\x{2013}\x{2014}]"
 
 
 def _read(data: bytes, encoding: str) -> str:
     """Bytes as ``encoding`` shows them; bytes it leaves undefined become controls."""
-    if encoding != "cp1252":
-        return data.decode(encoding)
-    return "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in data)
+    return "".join(_SEEN[encoding][b] for b in data)
+
+
+def _seen_as(encoding: str) -> list[str]:
+    out = []
+    for b in range(256):
+        try:
+            out.append(bytes([b]).decode(encoding))
+        except UnicodeDecodeError:
+            out.append(chr(b))
+    return out
+
+
+_SEEN = {e: _seen_as(e) for e in (*READ_AS, *ALSO_READ_AS)}
+
+
+def _syllables_of_latin() -> dict[str, str]:
+    """The Hangul syllable that the UTF-8 bytes of a Latin letter or sign show as a Korean double byte."""
+    out = {}
+    for cp in range(0xA0, 0x250):
+        try:
+            seen = chr(cp).encode("utf-8").decode("cp949")
+        except UnicodeDecodeError:
+            continue
+        if HANGUL.fullmatch(seen):
+            out[seen] = chr(cp)
+    return out
+
+
+LATIN_OF = _syllables_of_latin()
+_SYLLABLES = "[" + "".join(sorted(LATIN_OF)) + "]"
+BESIDE_LATIN = re.compile(f"(?<=[A-Za-z]){_SYLLABLES}+|{_SYLLABLES}+(?=[A-Za-z])")
+#: Texts of ASCII, Hangul and ordinary quotes and dashes alone cannot be garbled by any of the single-byte pairs.
+SEEN_SINGLE = r"[^\x00-\x7F\x{AC00}-\x{D7A3}\x{2018}-\x{201D}\x{2013}\x{2014}]"
+#: Nor by a double-byte pair, if no such syllable touches a Latin letter; the short pattern spares most texts the long one.
+TOUCHES_LATIN = r"[A-Za-z][\x{AC00}-\x{D7A3}]|[\x{AC00}-\x{D7A3}][A-Za-z]"
+SEEN_DOUBLE = f"[A-Za-z]{_SYLLABLES}|{_SYLLABLES}[A-Za-z]"
 
 
 def _bytes_of(s: str) -> bytes | None:
@@ -59,7 +93,7 @@ def _bytes_of(s: str) -> bytes | None:
     return bytes(out)
 
 
-@lru_cache(maxsize=len(READ_AS))
+@lru_cache(maxsize=len(_SEEN))
 def automaton(read_as: str) -> ahocorasick.Automaton:
     """All garbled sequences of one pair; the value is (length, character, whether it is telling alone).
 
@@ -67,20 +101,25 @@ def automaton(read_as: str) -> ahocorasick.Automaton:
     may stand together in correct text, so such a match needs a telling one beside it.
     """
     a = ahocorasick.Automaton()
-    for lo, hi in REPERTOIRE:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            seen = _read(ch.encode("utf-8"), read_as)
+    for cp in range(0x80, 0x110000):
+        ch = chr(cp)
+        if unicodedata.category(ch) in ("Cn", "Cs", "Co"):
+            continue
+        seen = _read(ch.encode("utf-8"), read_as)
+        if read_as in ALSO_READ_AS:
+            telling = len(seen) > 2 or not seen[1].isalpha()
+        else:
             telling = len(seen) > 2 or (seen[0] == "√" if read_as == "mac_roman" else "\u0080" <= seen[1] <= "\u00bf")
-            a.add_word(seen, (len(seen), ch, telling))
+        a.add_word(seen, (len(seen), ch, telling))
     a.make_automaton()
     return a
 
 
 def _matches(text: str, read_as: str) -> tuple[int, list]:
-    """Characters covered by the pair's garbled sequences (0 without a telling one), and the matches."""
+    """Characters covered by the pair's garbled sequences (0 without enough telling ones), and the matches."""
     found = list(automaton(read_as).iter_long(text))
-    return (sum(n for _, (n, _, _) in found), found) if any(t for _, (_, _, t) in found) else (0, [])
+    proofs = sum(t for _, (_, _, t) in found)
+    return (sum(n for _, (n, _, _) in found), found) if proofs >= (PROOFS if read_as in ALSO_READ_AS else 1) else (0, [])
 
 
 def _replaced(text: str, found: list) -> str:
@@ -128,37 +167,52 @@ def _double_bytes(text: str) -> int:
     return sum(proofs) if len(proofs) > 1 or max(proofs, default=0) >= 6 else 0
 
 
-def _korean_read_restored(text: str) -> str:
-    """UTF-8 bytes read as Korean double bytes: runs that encode back to valid UTF-8."""
+def _double_read_restored(text: str) -> str:
+    """UTF-8 bytes read as double bytes: runs that encode back to valid UTF-8."""
     if not IDEOGRAPH.search(text):
         return text
 
     def back(m: re.Match) -> str:
         if not IDEOGRAPH.search(m[0]):
             return m[0]
-        try:
-            return m[0].encode("cp949").decode("utf-8")
-        except UnicodeError:
-            return m[0]
+        for code in DOUBLE_READ_AS:
+            try:
+                got = m[0].encode(code).decode("utf-8")
+            except UnicodeError:
+                continue
+            if code == DOUBLE_READ_AS[0] or len(got) > 1 and all(HANGUL.match(c) or c in SIGNS for c in got):
+                return got
+        return m[0]
 
     return NON_ASCII.sub(back, text)
 
 
+def _latin_read_restored(text: str, proven: bool) -> str:
+    """Latin letters whose UTF-8 bytes were read as Korean double bytes, as in Qui챕n.
+
+    Such syllables also stand beside Latin letters in Korean, so no other Hangul
+    may be there, and there must be two of them unless the text is proven garbled.
+    """
+    spans = BESIDE_LATIN.findall(text)
+    if not spans or len(spans) < 2 and not proven or sum(map(len, spans)) < len(HANGUL.findall(text)):
+        return text
+    return BESIDE_LATIN.sub(lambda m: "".join(LATIN_OF[c] for c in m[0]), text)
+
+
 def restored_text(text: str) -> str:
     """The text with garbled spans restored; equal to the input if none is found.
 
-    Each pass applies the one pair that explains most characters.
+    Each pass applies the one pair that explains most characters, until none explains any.
     """
-    text = _korean_read_restored(text)
-    for k in range(PASSES):
-        covered, found = max((_matches(text, enc) for enc in READ_AS), key=lambda m: m[0])
-        if k == 0 and _double_bytes(text) > covered:
+    was, text = text, _double_read_restored(text)
+    while True:
+        covered, found = max((_matches(text, enc) for enc in (*READ_AS, *ALSO_READ_AS)), key=lambda m: m[0])
+        if _double_bytes(text) > covered:
             text = HIGH.sub(lambda m: _as_double_bytes(m[0]) or m[0], text)
         elif covered:
             text = _replaced(text, found)
         else:
-            break
-    return text
+            return _latin_read_restored(text, text != was)
 
 
 CONTROL = re.compile("[\u0080-\u009f]")
@@ -189,4 +243,5 @@ def restored_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     ids.append(i), new.append(None if gone else r), lost.append(gone)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(new, pa.string()), pa.array(lost, pa.bool_())], names=["doc_id", "restored", "lost"])
 
-    return src.filter(F.col("text").rlike(MAY_BE_GARBLED)).mapInArrow(run, f"doc_id {kind}, restored string, lost boolean")
+    t = F.col("text")
+    return src.filter(t.rlike(SEEN_SINGLE) | (t.rlike(TOUCHES_LATIN) & t.rlike(SEEN_DOUBLE))).mapInArrow(run, f"doc_id {kind}, restored string, lost boolean")

@@ -115,3 +115,23 @@ def test_documents_with_and_without_losses(spark):
     got = {r["doc_id"]: (r["restored"], r["lost"]) for r in restored_documents(df, "doc_id", "text").collect()}
     assert got == {1: (t, False), 5: (None, True), 6: (None, True), 7: ((t + " plain ") * 2000, False)}
     assert hashlib.md5(got[1][0].encode()).hexdigest() and restored_documents(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_garbling_of_any_depth_and_any_script():
+    deep = text = "Grüße aus Köln, ça va – 안녕하세요 שלום สวัสดี 🇰🇷 नमस्ते"
+    for _ in range(7):
+        deep = sloppy(deep.encode())
+    assert restored_text(deep) == text
+    for enc in ("cp1250", "cp1251", "cp437", "koi8-r"):
+        seen = [bytes([b]).decode(enc, "ignore") or chr(b) for b in range(256)]
+        assert restored_text("".join(seen[b] for b in text.encode())) == text
+
+
+def test_latin_letters_read_as_hangul():
+    assert restored_text("쩔Qui챕n vive?") == "¿Quién vive?"
+    assert restored_text("art체와 Web쩔이") == "art체와 Web쩔이" and restored_text("Vitamin챕") == "Vitamin챕"
+
+
+def test_correct_text_of_further_scripts_stays():
+    for text in ("Тишина и свет, «Рёбра» РС Рай Сын", "光と影 中文 東京", "ελληνικά Ωδή", "┬─┴ box ├──┤", "Říční žluťoučký kůň – Śląsk"):
+        assert restored_text(text) == text
