@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 
 from .text import CODAS, NUCLEI, ONSETS
 
-#: Family names of two or more common spellings.
-SPELLINGS = {"kim": ("kim", "gim"), "i": ("lee", "yi", "rhee", "i"), "bak": ("park", "bak", "pak"), "choe": ("choi", "choe"), "jeong": ("jung", "jeong", "chung"), "jo": ("cho", "jo"), "yun": ("yoon", "yun"), "im": ("lim", "im"), "o": ("oh", "o"), "seo": ("seo", "suh"), "gwon": ("kwon", "gwon"), "an": ("ahn", "an"), "yu": ("yoo", "yu", "ryu"), "go": ("ko", "go", "koh"), "no": ("noh", "no", "roh"), "u": ("woo", "u"), "gu": ("koo", "gu", "ku"), "gang": ("kang", "gang")}
+#: Korean family names and the ways they are written in Latin letters.
+FAMILIES = {
+    "김": "kim gim", "이": "lee rhee yi i", "박": "park bak pak", "최": "choi choe", "정": "jung jeong chung", "조": "cho jo", "윤": "yoon yun", "장": "jang chang", "임": "lim im rim yim",
+    "한": "han hahn", "오": "oh o", "서": "seo suh", "신": "shin sin", "권": "kwon gwon", "황": "hwang whang", "안": "ahn an", "송": "song", "유": "yu yoo you ryu lyu", "홍": "hong houng",
+    "전": "jeon chun", "고": "ko go koh", "문": "moon mun", "양": "yang", "손": "son sohn", "배": "bae pae", "백": "baek paik", "허": "heo hur huh", "남": "nam nahm", "심": "shim sim",
+    "노": "noh no roh", "하": "ha", "곽": "kwak gwak", "성": "sung seong", "차": "cha", "주": "joo ju", "우": "woo u", "구": "koo ku gu", "민": "min", "나": "na ra", "지": "ji chi", "강": "kang gang",
+    "진": "jin chin", "엄": "um eom", "채": "chae", "원": "won", "천": "cheon", "방": "bang", "공": "gong kong", "현": "hyun hyeon", "변": "byun byeon", "여": "yeo", "석": "seok", "추": "choo chu",
+}
+#: Family names with two sounds, under the one listed above.
+SAME_FAMILY = {"류": "유", "리": "이", "림": "임", "로": "노", "라": "나"}
 
 
 @runtime_checkable
@@ -35,6 +43,9 @@ def nfc_fold(s: str) -> str:
 class KoreanEnglish:
     """Hangul and Latin names: shapes, romanised keys in both orders, common spellings."""
 
+    def __init__(self) -> None:
+        self.root = {w: self.romanise(ko) for ko, ws in FAMILIES.items() for w in ws.split()}
+
     def syllable(self, ch: str) -> str:
         k = ord(ch) - 44032
         return ONSETS[k // 588] + NUCLEI[k % 588 // 28] + CODAS[k % 28] if 0 <= k < 11172 else ch
@@ -50,12 +61,12 @@ class KoreanEnglish:
 
     def name_keys(self, name: str) -> list[str]:
         """``family/given`` keys; a Latin name gives both orders, a common family name all its spellings' root."""
-        root = {v: k for k, vs in SPELLINGS.items() for v in vs}
+        root = self.root
         hangul = "".join(re.findall("[가-힣]", name))
         if hangul:
             if not 2 <= len(hangul) <= 4:
                 return []
-            fam = self.romanise(hangul[0])
+            fam = self.romanise(SAME_FAMILY.get(hangul[0], hangul[0]))
             return [f"{root.get(fam, fam)}/{self.romanise(hangul[1:])}"]
         parts = re.findall(r"[a-z]+", nfc_fold(name).replace("-", ""))
         if len(parts) < 2:
