@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
-from kinweave.llm.names import alike, clusters, edits, forms_of, row_forms, same_entities, variant_pairs
+from kinweave.llm import names
+from kinweave.llm.names import UNIT, clusters, confirmed, edits, forms_of, row_forms, same_entities, variant_pairs
 
 from ..conftest import rows
 
@@ -13,12 +16,12 @@ def artists(spark, data):
 
 @pytest.mark.parametrize("a,b", [("이유종", "Yoo Jong Lee"), ("조윤경", "Cho Yunkyeonk"), ("김은근", "KIM Eun-geun"), ("Frederik A. Delzaski", "Delzaski, F."), ("Robert Rosseski", "Bob Rosseski"), ("Halteo Collective", "HALTEO coll."), ("Halmb Project", "Project Halmbi"), ("침진을 공방", "공방 침진을"), ("Augustin Ralgamark", "Augustin Ralgamrak")])
 def test_spellings_of_one_name(a, b):
-    assert max(alike(x, y) for x in forms_of(a) for y in forms_of(b)) > 0.5
+    assert any(confirmed(x, y) for x in forms_of(a) for y in forms_of(b))
 
 
 @pytest.mark.parametrize("a,b", [("김다영", "김도석"), ("Edward Remlimeer", "Edward Gilfidane"), ("박후근", "Ronggeun Hwang"), ("Kim Lab", "Lee Lab"), ("Gilmii Workshop", "Gilmif Studio"), ("Alexander Velnegren", "Alexander Zalnegren"), ("Margaret Delfimark", "Gabriela Delfimark"), ("서성시", "서선비"), ("DJ Sorgotex", "Borgotox")])
 def test_other_names(a, b):
-    assert max((alike(x, y) for x in forms_of(a) for y in forms_of(b)), default=0) < 0.5
+    assert not any(confirmed(x, y) for x in forms_of(a) for y in forms_of(b))
 
 
 def test_a_given_name_alone_never_stands_by_itself():
@@ -57,5 +60,53 @@ def test_null_attributes_agree_with_null(spark):
 
 
 def test_average_linkage():
-    got = clusters(["a", "b", "c", "d"], [(0, 1, 1.0), (1, 2, 0.2), (2, 3, 0.9)])
-    assert got[0] == got[1] != got[2] == got[3]
+    links = {(0, 1): UNIT, (1, 2): UNIT // 10, (2, 3): UNIT * 9 // 10}
+    assert clusters(4, links) == [0, 0, 2, 2] and clusters(0, {}) == []
+
+
+def brute_clusters(n, links, least):
+    """One best pair at a time."""
+    groups = {i: [i] for i in range(n)}
+    while True:
+        best = min(((-sum(links.get((min(a, b), max(a, b)), 0) for a in x for b in y) / (len(x) * len(y)), i, j) for i, x in groups.items() for j, y in groups.items() if i < j), default=(0, 0, 0))
+        if -best[0] < least * UNIT or not best[0]:
+            return [next(i for i, x in groups.items() if k in x) for k in range(n)]
+        groups[best[1]] += groups.pop(best[2])
+
+
+def test_rounds_of_mutual_neighbours_give_the_tree_of_single_joins():
+    r = random.Random(4)
+    for n in (2, 5, 12, 25):
+        for _ in range(30):
+            links = {(i, j): r.randrange(1, UNIT) for i in range(n) for j in range(i + 1, n) if r.random() < 0.3}
+            assert clusters(n, links, 0.15) == brute_clusters(n, links, 0.15)
+
+
+def test_a_component_of_thousands_of_nodes():
+    """A long chain of close neighbours: all pairs join, then nothing is near enough on average."""
+    n = 6000
+    got = clusters(n, {(i, i + 1): UNIT // 2 + (i % 2 == 0) for i in range(n - 1)}, 0.2)
+    assert got == [i - i % 2 for i in range(n)]
+
+
+def test_blocks_too_large_for_a_task_give_the_same_entities(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/artists.parquet")
+    want = rows(same_entities(df))
+    assert len(want) > 100 and rows(same_entities(df, task_rows=0)) == want
+    # one block: a third and more of all rows under one key
+    one = df.drop("region", "field", "active_since").selectExpr("*", "'x' AS region", "'y' AS field", "'2000' AS active_since")
+    assert rows(same_entities(one, task_rows=0)) == rows(same_entities(one))
+
+
+def test_every_close_pair_of_forms_is_found(spark, monkeypatch):
+    """The join, cut into many cells, against all pairs."""
+    monkeypatch.setattr(names, "CELL", 3)
+    df = spark.read.parquet("/root/testdata/sf0.01/artists.parquet")
+    made = [row_forms(r.name_ko, r.name_en, None) for r in df.collect()]
+    forms = sorted({f for fs in made for f in fs if f[0] not in "AI"})
+    table = spark.createDataFrame([("b", f) for f in forms], "block string, form string")
+    got = {(r.a, r.b): r.sim for r in names._links(table, names.COSINE).collect()}
+    space = names.Space(names._weights(table)[0])
+    some = forms[::20]
+    want = {(min(a, b), max(a, b)): round(space.cosine(a, b) * UNIT) for a in some for b in forms if a != b and space.cosine(a, b) >= names.COSINE and confirmed(a, b)}
+    assert want and {k: got.get(k) for k in want} == want
