@@ -40,9 +40,9 @@ from .lookalikes import Plain, look_alikes
 from .survivors import value_of
 
 #: Cosine of two forms from which on they are compared part by part.
-COSINE = 0.3
+COSINE = 0.15
 #: Average cosine from which on two clusters join.
-LINKAGE = 0.15
+LINKAGE = 0.1
 #: Similarities are whole numbers of this unit, so that sums do not depend on order.
 UNIT = 1_000_000
 #: Dimensions of the n-gram space; n-grams are hashed, so their weights have a fixed size.
