@@ -13,7 +13,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_root(spark: SparkSession) -> str:
@@ -40,6 +41,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """As ``save``, with the number of rows, counted while they are written."""
+        seen = Observation()
+        return self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name), int(seen.get["n"])
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}")
 
