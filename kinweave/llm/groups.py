@@ -6,28 +6,37 @@ The pair graph is shrunk until no edge is left, then labels flow back:
 * compress - chains of degree-two vertices are shortened as in list ranking by
   independent sets: a chain vertex whose random rank is the smallest among its
   degree-two neighbours leaves, and its two neighbours are joined by an edge;
-* core    - where few vertices have degree one or two, vertices join the
-  neighbour that is a local minimum of the random ranks, and edges are relabelled.
+* core    - what has few vertices of degree one or two, or is a hundredth of all
+  edges, is solved: while it is large, vertices join the neighbour that is a local
+  minimum of the random ranks and edges are relabelled; once it has ``CORE_EDGES``
+  edges or fewer, in one task.
 
 A removed vertex keeps one parent that outlives it, so the parents form a forest
 no deeper than the number of rounds; pointer doubling over it restores labels in
-its logarithm. Per round the edges are aggregated twice and nothing is collected
-but counts. Hubs are aggregated on the map side and never gathered.
+its logarithm. A strip round is three map-side combined aggregations without a
+join, so hubs are never gathered; nothing is collected but counts and hot keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import hot_keys, skew_left_join
+from ..operators.joins import balanced_join
 from ..storage import Scratch
 
-#: A round that removes less than this share of the vertices calls for a core round.
-CORE_SHARE = 0.15
+#: A round that removes fewer vertices than this share of the edges calls for the core step.
+CORE_SHARE = 0.05
+#: So does a rest of this share of all edges that fits one task: the tails of the longest chains, not worth rounds of their own.
+REST_SHARE = 0.01
+#: Edges of a core one task solves: about 100 MB of ids.
+CORE_EDGES = 500_000
 
 
-def match_groups(pairs: DataFrame, a: str, b: str, member: str = "member", group: str = "group_id") -> DataFrame:
+def match_groups(pairs: DataFrame, a: str, b: str, member: str = "member", group: str = "group_id", core_edges: int = CORE_EDGES) -> DataFrame:
     """(member, group) for every id linked to another one; group is the smallest id of its component.
 
     A pair with a null id, or with one id twice, links nothing; repeated and
@@ -37,29 +46,32 @@ def match_groups(pairs: DataFrame, a: str, b: str, member: str = "member", group
     spark = pairs.sparkSession
     work = Scratch(spark, "groups")
     x, y = F.col("a"), F.col("b")
-    edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(x != y)
+    edges = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).filter(x != y)
     edges = edges.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
-    edges = work.save(edges, "edges0")
+    edges, n = work.counted(edges, "edges0")
     parents: list[DataFrame] = []
-    core, k = False, 0
-    while (n_edges := edges.count()) > 0:
+    first, total, k = n, 0, 0
+    while n:
         k += 1
-        step = _core_step if core else _low_degree_step
-        gone = work.save(step(edges), f"gone{k}")
-        n_gone = gone.count()
-        if not n_gone:
-            core = True
-            continue
+        core = n <= min(core_edges, REST_SHARE * first)
+        if not core:
+            gone, n_gone = work.counted(_low_degree_step(edges), f"gone{k}")
+            core = n_gone < CORE_SHARE * n
+        if core:
+            solve = _solved(edges) if n <= core_edges else _core_step(edges, n)
+            gone, n_gone = work.counted(solve, f"core{k}")
         parents.append(gone.select("v", "parent"))
-        edges = work.save(_without(edges, gone, core), f"edges{k}")
+        total += n_gone
+        if core and n <= core_edges:
+            break
+        edges, n = work.counted(_contracted(edges, gone, n) if core else _without(edges, gone), f"edges{k}")
         work.drop(f"edges{k - 1}")
-        core = not core and n_gone < CORE_SHARE * min(n_edges, 2 * n_gone + n_edges)
     if not parents:
         return edges.select(F.col("a").alias(member), F.col("a").alias(group))
     forest = parents[0]
     for p in parents[1:]:
         forest = forest.unionByName(p)
-    return _labels(forest, len(parents), work, member, group)
+    return _labels(forest, len(parents), total, work, member, group)
 
 
 def _rank(c: F.Column) -> F.Column:
@@ -72,41 +84,72 @@ def _arcs(edges: DataFrame) -> DataFrame:
 
 
 def _low_degree_step(edges: DataFrame) -> DataFrame:
-    """Vertices of degree one, and an independent set of those of degree two: (v, parent, other)."""
+    """Vertices of degree one, and an independent set of those of degree two: (v, parent, other).
+
+    Every vertex of low degree tells its neighbours so; what a vertex hears is
+    combined on the map side, so a hub hears all its leaves at the cost of one row
+    a task.
+    """
     low = _arcs(edges).groupBy("v").agg(F.count(F.lit(1)).alias("deg"), F.min("w").alias("lo"), F.max("w").alias("hi")).filter("deg <= 2")
-    ends = low.select("v", "deg", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("w"))
-    near = low.select(F.col("v").alias("w"), F.col("deg").alias("near_deg"))
-    seen = ends.join(near, "w", "left").groupBy("v", "deg").agg(
-        F.min("w").alias("lo"),
-        F.max("w").alias("hi"),
-        F.max((F.col("near_deg") == 1).cast("int")).alias("by_leaf"),
-        F.min(F.when(F.col("near_deg") == 2, _rank(F.col("w")))).alias("first"),
+    none = F.lit(None)
+    own = F.struct(F.col("v").alias("to"), F.col("deg"), F.col("lo"), F.col("hi"), none.cast("bigint").alias("far"), none.cast("string").alias("u"))
+    told = lambda w: F.struct(w.alias("to"), none.cast("bigint").alias("deg"), none.cast("string").alias("lo"), none.cast("string").alias("hi"), F.col("deg").alias("far"), F.col("v").alias("u"))
+    said = low.select(F.explode(F.when(F.col("deg") == 1, F.array(own, told(F.col("lo")))).otherwise(F.array(own, told(F.col("lo")), told(F.col("hi"))))).alias("m")).select("m.*")
+    seen = said.groupBy(F.col("to").alias("v")).agg(
+        F.max("deg").alias("deg"),
+        F.max("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.max((F.col("far") == 1).cast("int")).alias("by_leaf"),
+        F.min(F.when(F.col("far") == 2, _rank(F.col("u")))).alias("first"),
     )
-    leaf = (F.col("deg") == 1) & (F.coalesce(F.col("by_leaf"), F.lit(0)).eqNullSafe(0) | (F.col("v") > F.col("lo")))
-    chain = (F.col("deg") == 2) & F.coalesce(F.col("by_leaf"), F.lit(0)).eqNullSafe(0) & (F.col("first").isNull() | (_rank(F.col("v")) < F.col("first")))
+    alone = F.coalesce(F.col("by_leaf"), F.lit(0)) == 0
+    leaf = (F.col("deg") == 1) & (alone | (F.col("v") > F.col("lo")))
+    chain = (F.col("deg") == 2) & alone & (F.col("first").isNull() | (_rank(F.col("v")) < F.col("first")))
     return seen.filter(leaf | chain).select("v", F.col("lo").alias("parent"), F.when(F.col("deg") == 2, F.col("hi")).alias("other"))
 
 
-def _core_step(edges: DataFrame) -> DataFrame:
-    """Vertices next to a local minimum of the ranks: (v, parent, other=null)."""
+def _core_step(edges: DataFrame, n: int) -> DataFrame:
+    """Vertices next to a local minimum of the ranks: (v, parent)."""
     arcs = _arcs(edges)
     least = arcs.groupBy("v").agg(F.min(_rank(F.col("w"))).alias("m"))
     roots = least.filter(_rank(F.col("v")) < F.col("m")).select(F.col("v").alias("w"))
-    hot = hot_keys(arcs, "w")
-    marked = skew_left_join(arcs, roots.withColumn("root", F.lit(True)), "w", hot, "inner")
-    best = marked.groupBy("v").agg(F.min_by("w", _rank(F.col("w"))).alias("parent"))
-    return best.select("v", "parent", F.lit(None).cast("string").alias("other"))
-
-
-def _without(edges: DataFrame, gone: DataFrame, core: bool) -> DataFrame:
-    """The edges left once ``gone`` is removed (or, in a core round, merged into its parents)."""
-    if core:
-        for end in ("a", "b"):
-            to = gone.select(F.col("v").alias(end), F.col("parent").alias("to"))
-            moved = skew_left_join(edges, to, end, hot_keys(edges, end))
-            edges = moved.withColumn(end, F.coalesce("to", end)).drop("to")
-        x, y = F.col("a"), F.col("b")
-        return edges.filter(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    marked = balanced_join(arcs, roots, "w", 2 * n, "inner")
+    return marked.groupBy("v").agg(F.min_by("w", _rank(F.col("w"))).alias("parent")).select("v", "parent")
+
+
+def _contracted(edges: DataFrame, gone: DataFrame, n: int) -> DataFrame:
+    """The edges left once the vertices in ``gone`` are merged into their parents."""
+    for end in ("a", "b"):
+        to = gone.select(F.col("v").alias(end), F.col("parent").alias("to"))
+        edges = balanced_join(edges, to, end, n).withColumn(end, F.coalesce("to", end)).drop("to")
+    x, y = F.col("a"), F.col("b")
+    return edges.filter(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """(v, parent) of a core of bounded size, by union-find in one task; the parent is the smallest id of its component."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = sorted((top(a), top(b)))
+                up[b] = a
+        out = [(v, top(v)) for v in up if top(v) != v]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in (0, 1)], names=["v", "parent"])
+
+    return edges.repartition(1).mapInArrow(solve, "v string, parent string")
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges left once ``gone`` is removed and the ends of its chain vertices are joined."""
     pair = lambda p, q, t: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), F.lit(t).alias("t"))
     v, lo, hi = F.col("v"), F.col("parent"), F.col("other")
     changes = gone.select(F.explode(F.filter(F.array(pair(v, lo, -1), F.when(hi.isNotNull(), pair(v, hi, -1)), F.when(hi.isNotNull(), pair(lo, hi, 1))), lambda s: s.isNotNull())).alias("e")).select("e.*")
@@ -115,16 +158,16 @@ def _without(edges: DataFrame, gone: DataFrame, core: bool) -> DataFrame:
     return kept.filter((F.col("lost") == 0) | (F.col("new") == 1)).select("a", "b")
 
 
-def _labels(forest: DataFrame, rounds: int, work: Scratch, member: str, group: str) -> DataFrame:
+def _labels(forest: DataFrame, rounds: int, total: int, work: Scratch, member: str, group: str) -> DataFrame:
     """Pointer doubling to the roots, then the smallest id under each root."""
     ptr = work.save(forest, "ptr0")
     work.keep_only("ptr0")
     for k in range(1, max(1, (rounds - 1).bit_length()) + 1):
         up = ptr.select(F.col("v").alias("parent"), F.col("parent").alias("next"))
-        ptr = skew_left_join(ptr, up, "parent", hot_keys(ptr, "parent")).select("v", F.coalesce("next", "parent").alias("parent"))
+        ptr = balanced_join(ptr, up, "parent", total).select("v", F.coalesce("next", "parent").alias("parent"))
         ptr = work.save(ptr, f"ptr{k}")
         work.keep_only(f"ptr{k}")
     least = ptr.groupBy("parent").agg(F.least(F.min("v"), F.col("parent")).alias("g"))
     least = work.save(least, "least")
-    named = skew_left_join(ptr, least, "parent", hot_keys(ptr, "parent")).select(F.col("v").alias(member), F.col("g").alias(group))
+    named = balanced_join(ptr, least, "parent", total).select(F.col("v").alias(member), F.col("g").alias(group))
     return named.unionByName(least.select(F.col("parent").alias(member), F.col("g").alias(group)))

@@ -209,6 +209,12 @@ def grams(form: str) -> list[str]:
     return sorted(three("W", parts[0]) | {f"WI{parts[1][:1]}"} | (set() if parts[1].endswith(".") else three("w", parts[1])))
 
 
+def compared(form: str) -> tuple[str, int]:
+    """What ``confirmed`` asks to be equal (kind and Korean family), and the length it lets differ by one."""
+    kind, *parts = form.split("|")
+    return (f"K{parts[0]}", len(parts[1])) if kind == "K" else (kind, len(parts[0]))
+
+
 def dimensions(form: str) -> list[int]:
     return sorted({zlib.crc32(t.encode("utf-8", "surrogatepass")) % DIMENSIONS for t in grams(form)})
 
@@ -441,18 +447,20 @@ def _links(forms: DataFrame, cosine: float) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for block, form in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pre = space.prefix(form, cosine)
+                pre, (like, size) = space.prefix(form, cosine), compared(form)
                 for d in pre:
                     expected = n / np.expm1(space.weights[d]) * large.get(block, n / 1000) / max(n, 1)
                     k = 1 + int(expected // CELL)
                     own = zlib.crc32(form.encode("utf-8", "surrogatepass")) % k
-                    out += [(block, form, d, min(own, c) * k + max(own, c), own, k, pre) for c in range(k)]
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), *[pa.int32()] * 4, pa.list_(pa.int32())))], names=["block", "form", "d", "cell", "own", "k", "pre"])
+                    out += [(block, like, form, size, d, min(own, c) * k + max(own, c), own, k, pre) for c in range(k)]
+            cols = list(zip(*out)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.string()] * 3, *[pa.int32()] * 5, pa.list_(pa.int32())))], names=["block", "like", "form", "size", "d", "cell", "own", "k", "pre"])
 
-    posts = forms.select("block", "form").mapInArrow(post, "block string, form string, d int, cell int, own int, k int, pre array<int>")
+    posts = forms.select("block", "form").mapInArrow(post, "block string, `like` string, form string, size int, d int, cell int, own int, k int, pre array<int>")
     x, y = posts.alias("x"), posts.alias("y")
-    meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.form") < F.col("y.form"))
+    # pairs that cannot be confirmed are not compared
+    apt = (F.col("x.like") == F.col("y.like")) & (F.abs(F.col("x.size") - F.col("y.size")) <= 1)
+    meet = (F.col("x.block") == F.col("y.block")) & apt & (F.col("x.d") == F.col("y.d")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.form") < F.col("y.form"))
     # chunks of one cell meet once, and a pair of forms at its first common dimension only
     once = ((F.col("x.own") != F.col("y.own")) | (F.col("x.cell") == F.col("x.own") * (F.col("x.k") + 1))) & (F.array_min(F.array_intersect("x.pre", "y.pre")) == F.col("x.d"))
     pairs = x.join(y, meet & once).select("x.block", F.col("x.form").alias("a"), F.col("y.form").alias("b"))

@@ -20,7 +20,8 @@ from ..storage import Scratch
 #: Words that stand for "missing".
 STAND_INS = ("-", "--", "?", "n/a", "none", "null", "tbd", "unknown", "미상", "미정", "없음")
 FIELDS = ("name_en", "affiliation", "country")
-ROUNDS = 5
+#: Estimation ends when no rate of any source moves by more than this.
+TOLERANCE = 1e-4
 
 
 def value_of(c: Column) -> Column:
@@ -58,36 +59,44 @@ def artist_survivors(artists: DataFrame) -> DataFrame:
     return survivors(artists, "gy_id", "ledger_id", FIELDS, F.col("verification") == "VERIFIED", time_of(F.col("updated_at")))
 
 
-def truths(df: DataFrame, group: str, fields: tuple[str, ...], source: list[str], rounds: int = ROUNDS, keep: float = 0.5) -> DataFrame:
+def truths(df: DataFrame, group: str, fields: tuple[str, ...], source: list[str], tolerance: float = TOLERANCE, keep: float = 0.5) -> DataFrame:
     """(group, field, value, probability, kept) of every stated value by the two-sided quality model.
 
     A source states or, by stating another value of the same field, denies a
     value. Null, blank and stand-in values are no statements. Starting from the
-    share of sources that state a value, quality and probabilities are
-    re-estimated ``rounds`` times with a Beta prior on each rate.
+    share of statements a value has, quality and probabilities are re-estimated in
+    turn, with a Beta prior on each rate, until no rate moves by more than
+    ``tolerance``. A denial weighs the same for all values of a field of a group,
+    so it is summed once for the field and never multiplied out over its values.
     """
     work = Scratch(df.sparkSession, "truths")
     src = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in source])
     cells = F.array(*[F.struct(F.lit(f).alias("field"), value_of(F.col(f)).alias("value")) for f in fields])
     stated = df.filter(value_of(F.col(group)).isNotNull()).select(F.col(group).alias("g"), src.alias("s"), F.explode(cells).alias("c")).filter("c.value IS NOT NULL")
-    said = stated.groupBy("g", F.col("c.field").alias("field"), F.col("c.value").alias("value"), "s").agg(F.count(F.lit(1)).alias("n"))
-    facts = said.groupBy("g", "field", "value").agg(F.count(F.lit(1)).alias("__k")).drop("__k")
-    covers = said.groupBy("g", "field", "s").agg(F.sum("n").alias("m"))
-    votes = facts.join(covers, ["g", "field"]).join(said, ["g", "field", "value", "s"], "left").select("g", "field", "value", "s", F.coalesce("n", F.lit(0)).cast("double").alias("yes"), (F.col("m") - F.coalesce("n", F.lit(0))).cast("double").alias("no"))
-    votes = work.save(votes, "votes")
-    fact = ["g", "field", "value"]
-    belief = votes.groupBy(*fact).agg((F.sum("yes") / F.sum(F.col("yes") + F.col("no"))).alias("p"))
-    for k in range(rounds):
-        belief = work.save(belief, f"belief{k}")
-        seen = votes.join(belief, fact)
-        quality = seen.groupBy("s").agg(
-            ((F.sum(F.col("p") * F.col("yes")) + 5) / (F.sum(F.col("p") * (F.col("yes") + F.col("no"))) + 10)).alias("sens"),
-            ((F.sum((1 - F.col("p")) * F.col("yes")) + 1) / (F.sum((1 - F.col("p")) * (F.col("yes") + F.col("no"))) + 10)).alias("false_pos"),
-        )
-        weight = F.col("yes") * F.log(F.col("sens") / F.col("false_pos")) + F.col("no") * F.log((1 - F.col("sens")) / (1 - F.col("false_pos")))
-        belief = votes.join(quality, "s").groupBy(*fact).agg((1 / (1 + F.exp(-F.sum(weight)))).alias("p"))
-        if k:
-            work.drop(f"belief{k - 1}")
-    belief = work.save(belief, "last")
-    work.keep_only("last")
+    said = work.save(stated.groupBy("g", F.col("c.field").alias("field"), F.col("c.value").alias("value"), "s").agg(F.count(F.lit(1)).cast("double").alias("n")), "said")
+    covers = work.save(said.groupBy("g", "field", "s").agg(F.sum("n").alias("m")), "covers")
+    cell, fact = ["g", "field"], ["g", "field", "value"]
+    of_cell = covers.groupBy(*cell).agg(F.sum("m").alias("m"))
+    belief = work.save(said.groupBy(*fact).agg(F.sum("n").alias("n")).join(of_cell, cell).select(*fact, (F.col("n") / F.col("m")).alias("p")), "belief0")
+    rates, k = None, 0
+    while True:
+        k += 1
+        mass = belief.groupBy(*cell).agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false"))
+        yes = said.join(belief, fact).groupBy("s").agg(F.sum(F.col("p") * F.col("n")).alias("y1"), F.sum((1 - F.col("p")) * F.col("n")).alias("y0"))
+        both = covers.join(mass, cell).groupBy("s").agg(F.sum(F.col("true") * F.col("m")).alias("b1"), F.sum(F.col("false") * F.col("m")).alias("b0"))
+        now = work.save(yes.join(both, "s").select("s", ((F.col("y1") + 5) / (F.col("b1") + 10)).alias("sens"), ((F.col("y0") + 1) / (F.col("b0") + 10)).alias("false_pos")), f"rates{k}")
+        denied = F.log((1 - F.col("sens")) / (1 - F.col("false_pos")))
+        stated_by = F.log(F.col("sens") / F.col("false_pos"))
+        base = covers.join(now, "s").groupBy(*cell).agg(F.sum(F.col("m") * denied).alias("base"))
+        more = said.join(now, "s").groupBy(*fact).agg(F.sum(F.col("n") * (stated_by - denied)).alias("more"))
+        belief = work.save(more.join(base, cell).select(*fact, (1 / (1 + F.exp(-(F.col("more") + F.col("base"))))).alias("p")), f"belief{k}")
+        if rates is not None:
+            was = rates.select("s", F.col("sens").alias("sens0"), F.col("false_pos").alias("false0"))
+            moved = now.join(was, "s").agg(F.max(F.greatest(F.abs(F.col("sens") - F.col("sens0")), F.abs(F.col("false_pos") - F.col("false0"))))).first()[0]
+            work.drop(f"rates{k - 1}")
+        work.drop(f"belief{k - 1}")
+        if rates is not None and (moved or 0.0) <= tolerance:
+            break
+        rates = now
+    work.keep_only(f"belief{k}")
     return belief.select(F.col("g").alias(group), "field", "value", F.round("p", 6).alias("probability"), (F.col("p") >= keep).alias("kept"))
