@@ -22,6 +22,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -215,8 +216,13 @@ def compared(form: str) -> tuple[str, int]:
     return (f"K{parts[0]}", len(parts[1])) if kind == "K" else (kind, len(parts[0]))
 
 
+@lru_cache(maxsize=200_000)
+def _dimension(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % DIMENSIONS
+
+
 def dimensions(form: str) -> list[int]:
-    return sorted({zlib.crc32(t.encode("utf-8", "surrogatepass")) % DIMENSIONS for t in grams(form)})
+    return sorted(set(map(_dimension, grams(form))))
 
 
 class Space:
@@ -441,22 +447,25 @@ def _links(forms: DataFrame, cosine: float) -> DataFrame:
     # blocks of more than 1/1000 of the forms: at most 1000
     large = {r[0]: r[1] for r in forms.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 1000 > n).collect()}
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A posting for each dimension of the prefix; expected long lists are cut into chunks, and every two chunks meet in a cell."""
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The prefix of each form, and into how many chunks the postings of each dimension are expected to need cutting."""
         space = Space(held.value)
         for b in batches:
             out: list[tuple] = []
             for block, form in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                pre, (like, size) = space.prefix(form, cosine), compared(form)
-                for d in pre:
-                    expected = n / np.expm1(space.weights[d]) * large.get(block, n / 1000) / max(n, 1)
-                    k = 1 + int(expected // CELL)
-                    own = zlib.crc32(form.encode("utf-8", "surrogatepass")) % k
-                    out += [(block, like, form, size, d, min(own, c) * k + max(own, c), own, k, pre) for c in range(k)]
-            cols = list(zip(*out)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.string()] * 3, *[pa.int32()] * 5, pa.list_(pa.int32())))], names=["block", "like", "form", "size", "d", "cell", "own", "k", "pre"])
-
-    posts = forms.select("block", "form").mapInArrow(post, "block string, `like` string, form string, size int, d int, cell int, own int, k int, pre array<int>")
+                pre = space.prefix(form, cosine)
+                share = large.get(block, n / 1000) / max(n, 1)
+                ks = [1 + int(n / np.expm1(space.weights[d]) * share // CELL) for d in pre]
+                out.append((block, *compared(form), form, zlib.crc32(form.encode("utf-8", "surrogatepass")), pre, ks))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["block", "like", "size", "form", "mark", "pre", "ks"])
+
+    vectors = Scratch(spark, "vectors").save(forms.select("block", "form").mapInArrow(prefixes, "block string, `like` string, size int, form string, mark bigint, pre array<int>, ks array<int>"), "pre")
+    posts = vectors.select("block", "like", "size", "form", "mark", "pre", F.explode(F.arrays_zip(F.col("pre").alias("d"), F.col("ks").alias("k"))).alias("e")).select("block", "like", "size", "form", "pre", "e.d", "e.k", F.pmod("mark", "e.k").cast("int").alias("own"))
+    # chunks of a dimension's postings meet pair by pair, each in a cell of its own
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c")
+    posts = posts.select("*", other).withColumn("cell", F.least("own", "c") * F.col("k") + F.greatest("own", "c"))
     x, y = posts.alias("x"), posts.alias("y")
     # pairs that cannot be confirmed are not compared
     apt = (F.col("x.like") == F.col("y.like")) & (F.abs(F.col("x.size") - F.col("y.size")) <= 1)
