@@ -44,7 +44,8 @@ class KoreanEnglish:
     """Hangul and Latin names: shapes, romanised keys in both orders, common spellings."""
 
     def __init__(self) -> None:
-        self.root = {w: self.romanise(ko) for ko, ws in FAMILIES.items() for w in ws.split()}
+        self.first = {ko: ws.split()[0] for ko, ws in FAMILIES.items()}
+        self.root = {w: self.first[ko] for ko, ws in FAMILIES.items() for w in ws.split()}
 
     def syllable(self, ch: str) -> str:
         k = ord(ch) - 44032
@@ -66,8 +67,8 @@ class KoreanEnglish:
         if hangul:
             if not 2 <= len(hangul) <= 4:
                 return []
-            fam = self.romanise(SAME_FAMILY.get(hangul[0], hangul[0]))
-            return [f"{root.get(fam, fam)}/{self.romanise(hangul[1:])}"]
+            fam = SAME_FAMILY.get(hangul[0], hangul[0])
+            return [f"{self.first.get(fam, self.romanise(fam))}/{self.romanise(hangul[1:])}"]
         parts = re.findall(r"[a-z]+", nfc_fold(name).replace("-", ""))
         if len(parts) < 2:
             return []
@@ -105,11 +106,3 @@ def name_keys(c: Column, path: str = "kinweave.functions.language:KoreanEnglish"
             yield pd.Series(out)
 
     return keys(c)
-
-
-def nfc(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else None)
-
-    return compose(c)

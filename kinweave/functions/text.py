@@ -17,14 +17,27 @@ NUCLEI = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe"
 CODAS = ("", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t")
 
 
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
+def nfc(c: Column) -> Column:
+    """Composed form (NFC), by the ICU library that ships with Spark; ASCII passes untouched."""
+    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))).otherwise(c)
+
+
+def casefold(c: Column) -> Column:
+    """Full Unicode case folding, as in straße and STRASSE."""
+    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))).otherwise(F.lower(c))
+
+
 def norm_text(c: Column) -> Column:
-    """Invisible characters to spaces, runs of space to one, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, INVISIBLE, " "), r"\s+", " "))
+    """Composed form, invisible characters to spaces, runs of space to one, trimmed."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(nfc(c), INVISIBLE, " "), r"[\s\p{Z}]+", " "), "^ +| +$", "")
 
 
 def match_key(c: Column) -> Column:
-    """Lower-case letters and digits only."""
-    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    """Letters and digits of the composed text only, without regard to case."""
+    return F.regexp_replace(casefold(norm_text(c)), r"[^\p{L}\p{N}]+", "")
 
 
 def script_shares(c: Column) -> tuple[Column, Column, Column]:
@@ -86,12 +99,15 @@ def spaced_title(c: Column) -> Column:
 
 
 #: Letter groups that romanisations confuse, replaced in order.
-CONFUSED = (("eo", "o"), ("eu", "u"), ("ae", "e"), ("oo", "u"), ("ou", "u"), ("ch", "j"), ("kh", "k"), ("g", "k"), ("d", "t"), ("b", "p"), ("l", "r"), ("sh", "s"), ("w", "u"), ("y", "i"))
+CONFUSED = (
+    ("eo", "o"), ("eu", "u"), ("oo", "u"), ("ae", "e"), ("ee", "i"), ("wo", "o"), ("yu", "u"),
+    ("k", "g"), ("t", "d"), ("p", "b"), ("ch", "j"), ("r", "l"), ("c", "s"), ("x", "gs"),
+)
 
 
 def skeleton(c: Column) -> Column:
-    """Letters folded so that romanisations of one sound agree; runs of one letter once."""
-    folded = reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), CONFUSED, F.regexp_replace(F.lower(c), "[^a-z]", ""))
+    """Letters and digits folded so that romanisations of one sound agree; runs of one letter once."""
+    folded = reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), CONFUSED, F.regexp_replace(F.lower(c), "[^a-z0-9]", ""))
     return F.regexp_replace(folded, r"(.)\1+", "$1")
 
 
@@ -130,10 +146,16 @@ def note_value(c: Column, key: str) -> Column:
     return F.regexp_extract(c, rf"(?:^|;)\s*{key}=([^;]*?)\s*(?:;|$)", 1)
 
 
+def title_bag(c: Column) -> Column:
+    """Distinct runs of two or more letters, without regard to case; digits are left out."""
+    return F.array_distinct(F.regexp_extract_all(casefold(norm_text(c)), F.lit(r"\p{L}{2,}"), F.lit(0)))
+
+
 def titles_agree(a: Column, b: Column, least: float = 0.5) -> Column:
-    """Jaccard similarity of the word sets of two titles of at least ``least``."""
-    x, y = words_of(a), words_of(b)
-    return F.size(F.array_intersect(x, y)) >= F.size(F.array_union(x, y)) * least
+    """Jaccard similarity of the word sets of at least ``least``; titles of different scripts, or of none, cannot be compared and agree."""
+    x, y = title_bag(a), title_bag(b)
+    both = (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_intersect(x, y)) >= F.size(F.array_union(x, y)) * least)
+    return F.when((script_of(a) == "") | (script_of(a) != script_of(b)), True).otherwise(both)
 
 
 def pair_key(a: Column, b: Column) -> Column:

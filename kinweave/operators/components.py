@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
-from .joins import hot_keys, skew_left_join
+from .joins import balanced_join
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
     """Connect the (larger or smaller) neighbours of each node to its smallest neighbour."""
     both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = skew_left_join(both, least, "u", hot_keys(both, "u"), "inner")
+    joined = balanced_join(both, least, "u", n * (1 + large), "inner")
     if large:
         kept = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -27,23 +27,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(id, root) for every id on an edge to another one. Nulls and self-edges link nothing."""
+    """(id, root) for every id on an edge to another one. Nulls and self-edges link nothing.
+
+    Finished when a round changes no edge: its number of edges, and the sum of
+    their hashes, counted while they are written, stay the same.
+    """
     work = Scratch(edges.sparkSession, "components")
     x, y = F.col(src), F.col(dst)
-    e = work.save(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "e0")
+    e, n = work.counted(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "e0")
     k, before = 0, None
-    while True:
+    while n:
         k += 1
-        star = work.save(_star(e, large=True), f"l{k}")
-        down = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = work.save(_star(down, large=False), f"e{k}")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if k > 1:
-            work.drop(f"e{k - 1}")
-            work.drop(f"l{k - 1}")
-        if now == before:
+        star, n_star = work.counted(_star(e, n, large=True), f"l{k}")
+        down = work.save(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), f"d{k}")
+        e, n, mark = work.hashed(_star(down, n_star, large=False), f"e{k}")
+        for old in (f"e{k - 1}", f"l{k}", f"d{k}"):
+            work.drop(old)
+        if (n, mark) == before:
             break
-        before = now
+        before = (n, mark)
     work.keep_only(f"e{k}")
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
@@ -53,21 +55,27 @@ def follow(redirects: DataFrame, old: str, new: str) -> DataFrame:
     """(old, final): each retired id with the survivor at the end of its chain.
 
     Pointer doubling, so the rounds are the logarithm of the longest chain. An id
-    redirected twice follows the smaller target; a cycle ends at its smallest id.
+    redirected twice follows the smaller target. A chain that runs into a cycle
+    ends at the smallest id of the cycle.
     """
     work = Scratch(redirects.sparkSession, "follow")
-    ptr = work.save(redirects.filter(F.col(old) != F.col(new)).groupBy(F.col(old).alias("o")).agg(F.min(new).alias("n")), "p0")
-    seen, k = -1, 0
-    ptr = ptr.withColumn("low", F.least("o", "n"))
+    first = redirects.filter(F.col(old) != F.col(new)).groupBy(F.col(old).alias("o")).agg(F.min(new).alias("n"))
+    ptr, total = work.counted(first.select("o", "n", F.col("n").alias("low")), "p0")
+    # after k rounds a pointer is 2**k steps ahead, and ``low`` the smallest id on those steps
+    span, k = 1, 0
     while True:
         k += 1
         nxt = ptr.select(F.col("o").alias("n"), F.col("n").alias("n2"), F.col("low").alias("low2"))
-        joined = skew_left_join(ptr, nxt, "n", hot_keys(ptr, "n"))
+        joined = balanced_join(ptr, nxt, "n", total)
         ptr = work.save(joined.select("o", F.coalesce("n2", "n").alias("n"), F.coalesce(F.least("low", "low2"), "low").alias("low"), F.col("n2").isNotNull().alias("open")), f"p{k}")
-        going = ptr.filter("open").count()
-        if going == seen or not going or k > 60:
+        span *= 2
+        if span > total or not ptr.filter("open").take(1):
             break
-        seen = going if k > 5 else -1
         ptr = ptr.select("o", "n", "low")
-    work.keep_only(f"p{k}")
-    return ptr.select(F.col("o").alias(old), F.when(F.col("open"), F.col("low")).otherwise(F.col("n")).alias("final"))
+    # pointers still open are inside a cycle: one more lap from there meets its members only
+    cycle = ptr.filter("open").select("o", F.col("n").alias("at"))
+    lap = ptr.select(F.col("o").alias("at"), F.col("low").alias("least"))
+    ends = work.save(balanced_join(work.save(cycle, "cycle"), lap, "at", total).select("o", F.col("least").alias("end")), "ends")
+    out = work.save(ptr.join(ends, "o", "left").select(F.col("o").alias(old), F.coalesce("end", "n").alias("final")), "final")
+    work.keep_only("final")
+    return out

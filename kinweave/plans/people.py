@@ -12,6 +12,7 @@ from ..operators import linkage as ln
 from ..operators.merge import filled
 from ..sources.tables import table as t
 from .registry import query
+from .texts import site_sql
 from .ties import KEY
 
 
@@ -40,22 +41,24 @@ def gates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ln.gated_classes(people(s, d), "ledger_id", names, [("E1 site", site), ("E2 attributes", place)])
 
 
-SHARED = "('sites.google.com', 'github.com', 'vimeo.com', 'youtube.com', 'behance.net', 'notion.site', 'blogspot.com', 'wordpress.com')"
-HOST = r"regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]+)', 1), '^www\.', '')"
-PART = r"regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+/([^/?#]+)', 1)"
-SITE = f"CASE WHEN {HOST} IN {SHARED} AND {PART} <> '' THEN {HOST} || '/' || {PART} ELSE {HOST} END"
-GATED = f"""WITH p AS (SELECT *, array_to_string(regexp_extract_all(name_ko, '[가-힣]+'), '') AS hk, {KEY.format('name_en')} AS ek FROM artists), nk AS (SELECT ledger_id AS r, unnest(['k' || hk, 'e' || ek]) AS key FROM p), nh AS (SELECT key, min(r) AS h FROM nk WHERE length(key) > 1 GROUP BY 1 HAVING count(*) > 1), c AS (SELECT DISTINCT nh.h AS src, nk.r AS dst FROM nk JOIN nh USING (key) WHERE nk.r <> nh.h),
-ev AS (SELECT ledger_id AS r, 0 AS o, 'E1 site' AS rule, concat_ws('|', nullif({SITE}, ''), hk, ek) AS key FROM p UNION ALL SELECT ledger_id, 1, 'E2 attributes', concat_ws('|', active_since, region, field, hk, ek) FROM p), eh AS (SELECT rule, key, min(r) AS h FROM ev WHERE key <> '' GROUP BY 1, 2 HAVING count(*) > 1),
-e AS (SELECT eh.h AS src, ev.r AS dst, ev.o, ev.rule, ev.key AS evidence FROM ev JOIN eh ON ev.rule = eh.rule AND ev.key = eh.key WHERE ev.r <> eh.h), b AS (SELECT src, dst, rule, evidence FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY o, rule, evidence) AS k FROM e) WHERE k = 1)"""
+GATED = f"""p AS (SELECT *, array_to_string(regexp_extract_all(name_ko, '[가-힣]+'), '') AS hk, {KEY.format('name_en')} AS ek FROM artists),
+nk AS (SELECT DISTINCT r, name FROM (SELECT ledger_id AS r, unnest(['k' || hk, 'e' || ek]) AS name FROM p) WHERE length(name) > 1),
+ev AS (SELECT * FROM (SELECT ledger_id AS r, 0 AS o, 'E1 site' AS rule, concat_ws('|', nullif({site_sql('source_url')}, ''), hk, ek) AS evidence FROM p UNION ALL SELECT ledger_id, 1, 'E2 attributes', concat_ws('|', active_since, region, field, hk, ek) FROM p) WHERE evidence <> ''),
+sub AS (SELECT name, o, evidence, r FROM nk JOIN ev USING (r)), hub AS (SELECT name, o, evidence, min(r) AS h FROM sub GROUP BY ALL HAVING count(*) > 1),
+tie AS (SELECT DISTINCT h AS src, r AS dst FROM hub JOIN sub USING (name, o, evidence) WHERE r <> h),
+m AS (SELECT src, dst, rule, evidence FROM (SELECT src, dst, x.rule, x.evidence, row_number() OVER (PARTITION BY src, dst ORDER BY x.o, x.evidence) AS k FROM tie JOIN ev x ON x.r = src JOIN ev y ON y.r = dst AND y.o = x.o AND y.evidence = x.evidence) WHERE k = 1)"""
+QUEUE = f"""WITH RECURSIVE {GATED}, e AS (SELECT src AS a, dst AS b FROM m UNION SELECT dst, src FROM m), w(id, g) AS (SELECT a, a FROM e UNION SELECT e.b, w.g FROM w JOIN e ON e.a = w.id WHERE w.g < e.b),
+lab AS (SELECT id, min(g) AS root FROM w GROUP BY 1), reps AS (SELECT name, min(nk.r) AS rep FROM nk LEFT JOIN lab ON lab.id = nk.r GROUP BY name, coalesce(root, nk.r))
+SELECT DISTINCT src, rep AS dst FROM reps JOIN (SELECT name, min(rep) AS src FROM reps GROUP BY 1) USING (name) WHERE rep <> src"""
 
 
-@query("gated_merges", f"{GATED} SELECT c.src, c.dst, b.rule, b.evidence FROM c JOIN b ON c.src = b.src AND c.dst = b.dst")
+@query("gated_merges", f"WITH {GATED} SELECT * FROM m")
 def gated_merges(s: SparkSession, d: str) -> DataFrame:
     """Rows of one name that also share evidence, tied to the smallest of them, with the rule that carries them."""
     return gates(s, d)[0]
 
 
-@query("review_queue", f"{GATED} SELECT c.src, c.dst FROM c LEFT JOIN b ON c.src = b.src AND c.dst = b.dst WHERE b.src IS NULL")
+@query("review_queue", QUEUE)
 def review_queue(s: SparkSession, d: str) -> DataFrame:
     """Rows of one name without evidence: each group of merged rows once, against the smallest row of the name."""
     return gates(s, d)[1]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.language import nfc
+from ..functions.text import nfc
 from ..functions.split import alias_values
 from ..functions.text import tokenize
 from ..operators import disclosure as dc
@@ -52,7 +52,7 @@ def differencing_check(s: SparkSession, d: str) -> DataFrame:
     return dc.differencing(n(a), n(a.filter("verification = 'VERIFIED'")), ["region", "field"], "n", 3)
 
 
-@query("leak_scan", r"WITH tok AS (SELECT DISTINCT lower(name_en) AS w FROM artists WHERE regexp_full_match(name_en, '[A-Za-z]{5,}')) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM tok WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w))")
+@query("leak_scan")
 def leak_scan(s: SparkSession, d: str) -> DataFrame:
     """Documents that print a name of a person: either script, aliases too, in either order of its parts."""
     names = F.flatten(F.array_compact(F.array(F.array("name_ko", "name_en"), alias_values(F.col("aliases")))))

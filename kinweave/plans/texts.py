@@ -33,13 +33,32 @@ def url_keys(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "activities").select("activity_id", ur.domain_of(F.col("source_url")).alias("host"))
 
 
-@query("surt_keys", r"""WITH u AS (SELECT activity_id, lower(trim(source_url)) AS u FROM activities), x AS (SELECT activity_id, u, regexp_replace(regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]+)', 1), '^www\.', '') AS h FROM u)
-SELECT activity_id, array_to_string(list_reverse(string_split(h, '.')), ',') || ')' || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+(/[^?#]*)?', 1) AS surt, CASE WHEN h IN ('sites.google.com', 'github.com', 'vimeo.com', 'youtube.com', 'behance.net', 'notion.site', 'blogspot.com', 'wordpress.com') AND regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+/([^/?#]+)', 1) <> '' THEN h || '/' || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+/([^/?#]+)', 1) ELSE h END AS site,
-CASE WHEN u IS NULL THEN 'web' WHEN regexp_matches(u, 'docs\.google\.com/document') THEN 'gdoc' WHEN regexp_matches(u, 'docs\.google\.com/spreadsheets') THEN 'gsheet' WHEN regexp_matches(u, 'drive\.google\.com') THEN 'gdrive' WHEN regexp_matches(u, '\.pdf([?#]|$)') THEN 'pdf' WHEN regexp_matches(u, '\.docx([?#]|$)') THEN 'docx' WHEN regexp_matches(u, '\.hwpx?([?#]|$)') THEN 'hwp' ELSE 'web' END AS kind, h IN ('instagram.com', 'facebook.com', 'twitter.com', 'x.com', 'linkedin.com', 'tiktok.com', 'threads.net') AS social FROM x""")
+HOST = r"regexp_replace(regexp_extract(lower(trim({})), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]+)', 1), '^www\.', '')"
+BARE = r"regexp_replace(regexp_replace(lower(trim({})), '^https?://(www\.)?', ''), '[?#].*$', '')"
+#: Website identity in SQL; a column name goes in.
+SITE = "CASE WHEN regexp_matches(split_part({b}, '/', 1), '{shared}') THEN split_part({b}, '/', 1) || '/' || trim(regexp_replace(CASE WHEN contains({b}, '/') THEN substr({b}, strpos({b}, '/') + 1) ELSE '' END, 'index\\.(html?|php)$', ''), '/') ELSE split_part({b}, '/', 1) END"
+
+
+def site_sql(column: str) -> str:
+    return SITE.format(b=BARE.format(column), shared=ur.host_pattern(ur.SHARED_HOSTS))
+
+
+KIND = r"""CASE WHEN h = 'drive.google.com' THEN CASE WHEN contains(p, '/folders/') THEN 'gdrive_folder' ELSE 'gdrive_file' END WHEN h = 'docs.google.com' AND contains(p, '/document/d/') THEN 'gdoc' WHEN h = 'docs.google.com' AND contains(p, '/spreadsheets/d/') THEN 'gsheet'
+WHEN suffix(p, '.pdf') THEN 'pdf' WHEN suffix(p, '.docx') THEN 'docx' WHEN suffix(p, '.hwp') THEN 'hwp' ELSE 'web' END"""
+
+
+@query("surt_keys", rf"""WITH u AS (SELECT activity_id, lower(trim(source_url)) AS u, {HOST.format("source_url")} AS host, {site_sql("source_url")} AS site, regexp_replace(lower(source_url), '[?#].*$', '') AS q FROM activities),
+x AS (SELECT *, regexp_extract(q, '^[a-z][a-z0-9+.-]*://([^/]*)', 1) AS h, regexp_extract(q, '^(?:[a-z][a-z0-9+.-]*://[^/]*)?(.*)$', 1) AS p FROM u)
+SELECT activity_id, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]+(/[^?#]*)?', 1) AS surt, site, {KIND} AS kind, regexp_matches(host, '{ur.host_pattern(ur.SOCIAL_HOSTS)}') AS social FROM x""")
 def surt_keys(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "activities").select("activity_id", ur.surt(F.col("source_url")).alias("surt"), ur.url_key(F.col("source_url")).alias("site"), ur.detect_kind(F.col("source_url")).alias("kind"), ur.is_social(F.col("source_url")).alias("social"))
 
 
+@query("link_types", rf"""WITH x AS (SELECT artists.ledger_id, {HOST.format("source_url")} AS h FROM artists) SELECT ledger_id, CASE WHEN regexp_matches(h, '{ur.host_pattern(ur.SOCIAL_HOSTS)}') THEN 'social' WHEN regexp_matches(h, '{ur.host_pattern(ur.VIDEO_HOSTS)}') THEN 'video' WHEN regexp_matches(h, '{ur.host_pattern(ur.REPOSITORY_HOSTS)}') THEN 'repository' ELSE 'website' END AS link_type FROM x""")
+def link_types(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "artists").select("ledger_id", ur.link_type(F.col("source_url")).alias("link_type"))
+
+
 @query("romanised_names")
 def romanised_names(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "artists").filter("name_ko IS NOT NULL").select("ledger_id", tx.romanise(F.col("name_ko")).alias("latin"), tx.skeleton(tx.romanise(F.col("name_ko"))).alias("skeleton"))

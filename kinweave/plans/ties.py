@@ -16,7 +16,7 @@ from .registry import query
 EVENT_GROUPS = """SELECT DISTINCT event_type, date_trunc('hour', ts) AS h, user_id FROM events WHERE user_id IS NOT NULL"""
 EVENT_TIES = f"""g AS ({EVENT_GROUPS}), ties AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM g a JOIN g b ON a.event_type = b.event_type AND a.h = b.h AND a.user_id < b.user_id)"""
 YEAR = "TRY_CAST(NULLIF(regexp_extract(year, '(19[0-9]{2}|20[0-9]{2})', 1), '') AS INTEGER)"
-KEY = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+KEY = r"replace(replace(lower(regexp_replace(nfc_normalize({}), '[^\p{{L}}\p{{N}}]+', '', 'g')), 'ß', 'ss'), 'ς', 'σ')"
 
 
 def event_members(s: SparkSession, d: str) -> DataFrame:

@@ -50,24 +50,32 @@ class Ledger:
         return raw.select(*[(F.col(f"`{c}`") if c in have else F.lit(None).cast("string")).alias(c) for c in schema.fieldNames()])
 
     def write(self, table: str, df: DataFrame, task: str, today: dt.date | None = None) -> str | None:
-        """Replace a table: written beside, the old one moved to a dated backup, then renamed. Returns the backup."""
+        """Replace a table: written beside, the old one moved to a dated backup (or aside, where the day has one), then renamed. Returns the backup.
+
+        At every moment the table or its predecessor stands whole under some name.
+        """
         path, cols = f"{self.root}/{table}.csv", schema_of(table).fieldNames()
         new = f"{self.root}/.{table}.new"
         df.select(*cols).write.mode("overwrite").options(header=True, quote='"', escape='"', nullValue="", emptyValue="").csv(new)
-        backup = None
+        backup, aside = None, None
+        fs, live = self._fs(path)
         if self.exists(path):
-            backup = f"{self.root}/backups/{table}.{(today or dt.date.today()).isoformat()}.{task}"
-            if self.exists(backup):
-                fs, p = self._fs(path)
-                fs.delete(p, True)
-                backup = None
+            aside = f"{self.root}/backups/{table}.{(today or dt.date.today()).isoformat()}.{task}"
+            if self.exists(aside):
+                # the day's backup stays; the table is put aside until the new one is in its place
+                aside = f"{self.root}/.{table}.old"
+                fs.delete(self._fs(aside)[1], True)
             else:
-                fs, p = self._fs(backup)
-                fs.mkdirs(p.getParent())
-                fs.rename(self._fs(path)[1], p)
-        fs, p = self._fs(new)
-        if not fs.rename(p, self._fs(path)[1]):
+                backup = aside
+                fs.mkdirs(self._fs(aside)[1].getParent())
+            if not fs.rename(live, self._fs(aside)[1]):
+                raise OSError(f"{path} could not be put aside")
+        if not fs.rename(self._fs(new)[1], live):
+            if aside:
+                fs.rename(self._fs(aside)[1], live)
             raise OSError(f"{path} could not be replaced")
+        if aside != backup:
+            fs.delete(self._fs(aside)[1], True)
         return backup
 
     def prune_backups(self, keep_days: int, today: dt.date | None = None) -> list[str]:

@@ -72,10 +72,22 @@ def test_years_and_codes(spark):
 
 def test_urls(spark):
     assert each(spark, urls.domain_of, ["HTTPS://www.A.org:80/x", "b.net", None]) == ["a.org", "b.net", None]
-    assert each(spark, urls.url_key, ["https://github.com/me/x", "https://a.org/me"]) == ["github.com/me", "a.org"]
+    assert each(spark, urls.url_key, ["https://me.github.io/x/index.html?q", "https://www.a.org/me", "http://b.tistory.com/", "https://notgithub.io/x", None]) == ["me.github.io/x", "a.org", "b.tistory.com/", "notgithub.io", None]
     assert each(spark, urls.surt, ["https://www.a.org/x/Y?q=1"]) == ["org,a)/x/y"]
     assert each(spark, urls.detect_kind, ["http://a/b.PDF?x", "https://docs.google.com/document/d/1/edit", "http://a"]) == ["pdf", "gdoc", "web"]
-    assert each(spark, urls.fetch_target, ["https://docs.google.com/document/d/1/edit"]) == ["https://docs.google.com/document/d/1/export?format=txt"]
+    assert each(spark, urls.fetch_target, ["https://docs.google.com/document/d/1/edit"]) == ["https://docs.google.com/document/d/1/export?format=pdf"]
+    targets = ["https://drive.google.com/file/d/A_1/view", "https://drive.google.com/open?id=B-2&x=1", "https://drive.google.com/x", "https://www.dropbox.com/s/q?dl=0", "https://dropbox.com/s/q", "https://a.org/cv"]
+    assert each(spark, urls.fetch_target, targets) == ["https://drive.google.com/uc?export=download&id=A_1", "https://drive.google.com/uc?export=download&id=B-2", None, "https://www.dropbox.com/s/q?dl=1", "https://dropbox.com/s/q?dl=1", "https://a.org/cv"]
+    assert each(spark, urls.detect_kind, ["https://drive.google.com/drive/folders/1", "https://drive.google.com/file/d/1", "https://docs.google.com/spreadsheets/d/1"]) == ["gdrive_folder", "gdrive_file", "gsheet"]
+    assert each(spark, urls.link_type, ["https://m.facebook.com/a", "https://minaparkx.com", "https://vimeo.com/1", "https://github.com/a", "https://youtu.be/1"]) == ["social", "website", "video", "repository", "video"]
+
+
+def test_text_rules_of_the_archive(spark):
+    assert each(spark, text.match_key, ["STRASSE", "straße", "e\u0301"]) == ["strasse", "strasse", "é"]
+    assert each(spark, text.norm_text, ["e\u0301\u00a0x", "\u1112\u1161\u11ab"]) == ["é x", "한"]
+    assert each(spark, text.skeleton, ["Kookmin 2", "wonju", "xylem"]) == ["gugmin2", "onju", "gsylem"]
+    df = spark.createDataFrame([("봄 그늘", "spring shade"), ("a b", "a b"), ("12", "red"), ("Red Sea 2", "red sea 1")], "a string, b string")
+    assert [r[0] for r in df.select(text.titles_agree(F.col("a"), F.col("b"))).collect()] == [True, False, True, True]
 
 
 def test_language_plug_in(spark):
@@ -83,4 +95,4 @@ def test_language_plug_in(spark):
     assert set(lang.name_keys("김유환")) & set(lang.name_keys("Yuhwan Kim")) == {"kim/yuhwan"}
     assert lang.personal("김유환") and lang.personal("Ann Lee") and not lang.personal("Hall")
     assert each(spark, language.name_keys, [None, "", "Kim Yu-hwan"]) == [[], [], ["kim/yuhwan", "yuhwan/kim"]]
-    assert each(spark, language.nfc, ["é", None]) == ["é", None]
+    assert each(spark, text.nfc, ["é", None]) == ["é", None]

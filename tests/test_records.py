@@ -37,6 +37,8 @@ def test_components_against_union_find(spark):
 def test_redirect_chains_end_at_the_survivor(spark):
     df = spark.createDataFrame([(f"r{i:02d}", f"r{i + 1:02d}") for i in range(20)] + [("x", "x")], "old string, new string")
     assert rows(cc.follow(df, "old", "new")) == [(f"r{i:02d}", "r20") for i in range(20)]
+    tails = spark.createDataFrame([("1", "5"), ("5", "6"), ("6", "5"), ("2", "1"), ("3", "4"), ("7", "8"), ("8", "9"), ("9", "7"), ("0", "9")], "old string, new string")
+    assert rows(cc.follow(tails, "old", "new")) == [("0", "7"), ("1", "5"), ("2", "5"), ("3", "4"), ("5", "5"), ("6", "5"), ("7", "7"), ("8", "7"), ("9", "7")]
 
 
 def test_upsert_fills_only_blanks_and_is_idempotent(spark):

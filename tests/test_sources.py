@@ -38,6 +38,24 @@ def test_decoding_and_html(spark):
     assert texts.codec_of("KS_C_5601-1987") == "cp949" and texts.codec_of("nonsense") is None
 
 
+def test_declared_codecs_and_readable_text(spark):
+    assert texts.decode_bytes(b"caf\xe9 \xff", "utf-8") == "caf\ufffd \ufffd" and texts.decode_bytes("é".encode("cp1252"), "latin1") == "é"
+    assert texts.codec_of("iso-ir-149") == "cp949" and texts.codec_of("MS949") == "cp949" and texts.codec_of("UTF8MB4") == "utf-8" and texts.codec_of("") is None
+    df = spark.createDataFrame([("가나다 abc " * 40,), ("short",), ("%&/(" * 100,), (None,)], "c string")
+    assert [r[0] for r in df.select(texts.looks_garbled(F.col("c"))).collect()] == [False, True, True, None]
+    page = "<!-- <p>no</p> --><STYLE>p{}</STYLE><h1>Title</h1>a<br/>b &lt;c&gt; <i>d</i><script>if (a<b) x()</script><td>e"
+    assert texts.visible_text(page) == "Title\na\nb <c> d\ne"
+
+
+def test_a_table_replaced_twice_a_day(spark, tmp_path):
+    led = ledger.Ledger(spark, str(tmp_path))
+    full = spark.createDataFrame([("a",)], "ledger_id string").select(*[F.col(c) if c == "ledger_id" else F.lit("x").alias(c) for c in ledger.schema_of("scope").fieldNames()])
+    day = dt.date(2026, 1, 1)
+    assert led.write("scope", full, "t", day) is None and led.write("scope", full, "t", day).endswith("scope.2026-01-01.t")
+    assert led.write("scope", full.unionByName(full), "t", day) is None and led.read("scope").count() == 2
+    assert not list(tmp_path.glob(".scope*"))
+
+
 def test_bodies_by_kind(spark, tmp_path):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
