@@ -1,7 +1,7 @@
 """Duplicates hidden by formatting differences.
 
-Canonical records are range-partitioned and sorted externally by
-(hash of the key, full key, id); each sorted partition is then scanned once,
+Canonical records are written once, range-partitioned by (128-bit hash of the
+key, id) and sorted externally with the full key; each sorted partition is then scanned once,
 comparing the full keys of neighbours. The range cuts fall inside a large group
 too, so no group has to fit one task; what crosses a cut is stitched from one
 descriptor per partition.
@@ -101,8 +101,12 @@ def copies_of_records(df: DataFrame, row_id: str, key: Column) -> DataFrame:
     ship(df.sparkSession)
     work = Scratch(df.sparkSession, "copies")
     rows = df.select(key.alias("key"), F.col(row_id).alias("id")).filter(F.col("key").isNotNull() & F.col("id").isNotNull())
-    order = [F.xxhash64("key"), F.col("key"), F.col("id")]
-    scanned = work.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, _SCAN_SQL), "scan")
+    # written once: the ranges are sampled from it and it is sorted, without making the keys twice
+    rows = work.save(rows.select(F.xxhash64("key").alias("h"), F.xxhash64("key", F.lit(1)).alias("g"), "key", "id"), "keys")
+    # the ranges are cut by 128 bits of the key and the id, so that no full key is sent to the driver
+    ranged = rows.repartitionByRange("h", "g", "id").sortWithinPartitions("h", "g", "key", "id").select("key", "id")
+    scanned = work.save(ranged.mapInArrow(_scan, _SCAN_SQL), "scan")
+    work.drop("keys")
     # one row per partition: small whatever the data
     ends = scanned.filter("copy_id IS NULL")
     w = Window.orderBy("pid")
