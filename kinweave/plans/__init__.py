@@ -1,4 +1,4 @@
 """Named queries; importing the modules registers them."""
 
-from . import careers, cells, institutions, people, publish, quality, records, texts, ties
+from . import careers, cells, institutions, people, places, publish, quality, records, texts, ties
 from .registry import QUERIES, SQL
