@@ -16,7 +16,20 @@ from .registry import query
 EVENT_GROUPS = """SELECT DISTINCT event_type, date_trunc('hour', ts) AS h, user_id FROM events WHERE user_id IS NOT NULL"""
 EVENT_TIES = f"""g AS ({EVENT_GROUPS}), ties AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM g a JOIN g b ON a.event_type = b.event_type AND a.h = b.h AND a.user_id < b.user_id)"""
 YEAR = "TRY_CAST(NULLIF(regexp_extract(year, '(19[0-9]{2}|20[0-9]{2})', 1), '') AS INTEGER)"
-KEY = r"replace(replace(lower(regexp_replace(nfc_normalize({}), '[^\p{{L}}\p{{N}}]+', '', 'g')), 'ß', 'ss'), 'ς', 'σ')"
+#: Letters that case folding spells out; the rest of it is lower case.
+FOLDED = {"ß": "ss", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ſ": "s", "ŉ": "ʼn", "µ": "μ"}
+
+
+def fold_sql(c: str) -> str:
+    """Case folding in SQL."""
+    out = f"lower({c})"
+    for a, b in FOLDED.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+#: Match key in SQL; a column goes in.
+KEY = fold_sql(r"regexp_replace(nfc_normalize({}), '[^\p{{L}}\p{{N}}]+', '', 'g')")
 
 
 def event_members(s: SparkSession, d: str) -> DataFrame:
