@@ -64,6 +64,48 @@ def secondary(cells: DataFrame, margins: list[list[str]], key: list[str], n: str
             return work
 
 
+def shares(cells: DataFrame, group: list[str], n: str, status: str) -> DataFrame:
+    """D2: with ``share``, a whole percentage of the group (halves go up), where every cell of the group is published; a bound stays one, the rest is suppressed."""
+    w = Window.partitionBy(*group)
+    total, whole = F.sum(n).over(w), F.bool_and(F.col(status) == "published").over(w)
+    pct = F.floor(100 * F.col(n) / total + 0.5).cast("long").cast("string")
+    return cells.withColumn("share", F.when(F.col(status) == "bound", ">=90").when(whole & (total > 0), pct).otherwise("suppressed"))
+
+
+def full_shares(cells: DataFrame, group: list[str], n: str, least: float = DOMINANCE) -> DataFrame:
+    """With ``share`` of the whole group, cells that will be left out included, so that an omission inflates none; from ``least`` on a bound. Null for an empty group."""
+    total = F.sum(n).over(Window.partitionBy(*group))
+    part = F.try_divide(F.col(n).cast("double"), total)
+    return cells.withColumn("share", F.when(part >= least, ">=90").otherwise(F.floor(100 * part + 0.5).cast("long").cast("string")))
+
+
+def unequal_margins(left: DataFrame, right: DataFrame, n: str, key: list[str]) -> DataFrame:
+    """(*key, left_sum, right_sum): margins on which two tables of one population do not add up to the same; empty if they do."""
+    a, b = (x.groupBy(*key).agg(F.sum(n).alias(f"{side}_sum")) for x, side in ((left, "left"), (right, "right")))
+    return a.join(b, key, "full").filter(~F.col("left_sum").eqNullSafe(F.col("right_sum")))
+
+
+#: Columns that name a person.
+IDENTIFIERS = ("ledger_id", "gy_id", "name_ko", "name_en", "aliases", "source_url", "email", "cv_url")
+
+
+def unsafe_cells(table: DataFrame, people: str, counts: list[str], k: int = K, ids: str = r"(?i)\b(?:LED|GY|ACT)-\d{4,}\b|https?://|\S+@\S+\.\S+") -> DataFrame:
+    """(rule, column, value) of what a table of aggregates must not hold: a column that names a person, a value that may, a count of people under ``k``, a count that is no multiple of 5."""
+    bad = [F.struct(F.lit("identifier column").alias("rule"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("value")) for c in table.columns if c in IDENTIFIERS]
+    tests = []
+    for c in table.columns:
+        v, number = F.col(c).cast("string"), F.col(c).cast("string").try_cast("long")
+        as_ = lambda rule, c=c, v=v: F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), v.alias("value"))
+        tests.append(F.when(v.rlike(ids), as_("identifier value")))
+        if c == people:
+            tests.append(F.when(number < k, as_("under k")))
+        if c in counts:
+            tests.append(F.when(number % 5 != 0, as_("not rounded")))
+    spark = table.sparkSession
+    rows = table.select(F.explode(F.array_compact(F.array(*tests))).alias("b")).select("b.*")
+    return rows.unionByName(spark.range(1).select(F.explode(F.array(*bad)).alias("b")).select("b.*")) if bad else rows
+
+
 def displayed(n: Column, status: Column) -> Column:
     """Printed form: rounded to 5, ``suppressed`` or ``>=90``."""
     return F.when(status == "published", (5 * F.floor((n + 2) / 5)).cast("string")).when(status == "bound", ">=90").otherwise("suppressed")

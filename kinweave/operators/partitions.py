@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,72 @@ def lift_auc(assignment: DataFrame, entity: str, group: str, ties: DataFrame) ->
     return one.select(F.col("t").cast("long").alias("ties"), F.col("s").cast("long").alias("inside"), F.when(defined, F.round(lift, 9)).alias("lift"), F.when(defined, F.round(auc, 9)).alias("auc"))
 
 
+def counted_scores(people: DataFrame, entity: str, group: str, count: str, ties: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(*by, pairs, ties, inside, lift, auc): as ``lift_auc`` where each entity is present ``count`` times.
+
+    Two copies of one entity are no pair; a pair of different ones counts as often
+    as their copies meet. ``by`` names draws that are scored side by side. Scores
+    are null where they are not defined.
+    """
+    by = by or []
+    p = people.filter(F.col(group).isNotNull() & (F.col(count) > 0)).select(*by, F.col(entity).alias("e"), F.col(group).alias("g"), F.col(count).cast("double").alias("c"))
+    sizes = p.groupBy(*by, "g").agg(F.sum("c").alias("n"), F.sum(choose2(F.col("c"))).alias("own"))
+    base = sizes.groupBy(*by).agg((choose2(F.sum("n")) - F.sum("own")).alias("total"), (F.sum(choose2(F.col("n"))) - F.sum("own")).alias("same"))
+    src, dst = p.toDF(*by, "src", "gs", "cs"), p.toDF(*by, "dst", "gd", "cd")
+    both = ties.select("src", "dst").join(src, "src").join(dst, ["dst", *by])
+    w = F.col("cs") * F.col("cd")
+    tied = both.groupBy(*by).agg(F.sum(w).alias("t"), F.sum(F.when(F.col("gs") == F.col("gd"), w).otherwise(0.0)).alias("s"))
+    one = (base.join(tied, by, "left") if by else base.crossJoin(tied)).withColumn("t", F.coalesce("t", F.lit(0.0))).withColumn("s", F.coalesce("s", F.lit(0.0)))
+    defined = (F.col("t") > 0) & (F.col("t") != F.col("total")) & (F.col("same") > 0)
+    inside = F.try_divide(F.col("s"), F.col("t"))
+    lift = F.try_divide(inside, F.try_divide(F.col("same"), F.col("total")))
+    auc = (inside + 1 - F.try_divide(F.col("same") - F.col("s"), F.col("total") - F.col("t"))) / 2
+    return one.select(*by, F.col("total").cast("long").alias("pairs"), F.col("t").cast("long").alias("ties"), F.col("s").cast("long").alias("inside"), F.when(defined, F.round(lift, 9)).alias("lift"), F.when(defined, F.round(auc, 9)).alias("auc"))
+
+
+#: Cumulative probabilities of a Poisson(1) count of 0, 1, 2 and so on.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
+def poisson_count(seed: int, draw: Column, entity: Column) -> Column:
+    """A Poisson(1) count from a hash of (seed, draw, entity): the same wherever and however often it is made."""
+    u = F.pmod(F.xxhash64(F.lit(seed), draw, entity), F.lit(1 << 40)) / float(1 << 40)
+    return reduce(lambda rest, k: F.when(u < POISSON[k], F.lit(k)).otherwise(rest), reversed(range(len(POISSON))), F.lit(len(POISSON)))
+
+
+def _drawn(df: DataFrame, entity: str, draws: int, seed: int) -> DataFrame:
+    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", poisson_count(seed, F.col("draw"), F.col(entity)))
+
+
+def score_intervals(assignment: DataFrame, entity: str, group: str, ties: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
+    """One row: 95 % percentile intervals (linear) of lift and AUC over draws of entities, and in how many draws they are defined."""
+    people = _drawn(assignment.filter(F.col(group).isNotNull()).select(entity, group), entity, draws, seed)
+    got = counted_scores(people, entity, group, "times", ties, ["draw"])
+    ends = lambda c, q: F.round(F.percentile(c, F.lit(q)), 9)
+    return got.agg(F.count("lift").alias("defined"), ends("lift", 0.025).alias("lift_lo"), ends("lift", 0.975).alias("lift_hi"), ends("auc", 0.025).alias("auc_lo"), ends("auc", 0.975).alias("auc_hi"))
+
+
+def stability(pairs: DataFrame, entity: str, left: str, right: str, draws: int = 200, seed: int = 1) -> DataFrame:
+    """One row: mean and 5 % to 95 % percentiles of the adjusted Rand index of two partitions over draws of entities, and the mean share a draw leaves out.
+
+    Each entity of a draw counts once, however often it is drawn.
+    """
+    p = pairs.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(entity).alias("e"), F.col(left).alias("l"), F.col(right).alias("r"))
+    d = _drawn(p, "e", draws, seed)
+    kept = d.filter("times > 0")
+    cells = kept.groupBy("draw", "l", "r").agg(F.count(F.lit(1)).alias("n"))
+    s = cells.groupBy("draw").agg(F.sum(choose2(F.col("n"))).alias("s"), choose2(F.sum("n")).alias("tt"))
+    a = cells.groupBy("draw", "l").agg(F.sum("n").alias("n")).groupBy("draw").agg(F.sum(choose2(F.col("n"))).alias("a"))
+    b = cells.groupBy("draw", "r").agg(F.sum("n").alias("n")).groupBy("draw").agg(F.sum(choose2(F.col("n"))).alias("b"))
+    down = F.col("tt") * (F.col("a") + F.col("b")) - 2 * F.col("a") * F.col("b")
+    same = (F.col("s") == F.col("a")) & (F.col("s") == F.col("b"))
+    ari = F.when(same | (down == 0), 1.0).otherwise(F.try_divide(2 * (F.col("s") * F.col("tt") - F.col("a") * F.col("b")), down))
+    got = s.join(a, "draw").join(b, "draw").select("draw", ari.alias("ari"))
+    left_out = d.groupBy("draw").agg((F.count_if(F.col("times") == 0) / F.count(F.lit(1))).alias("o"))
+    one = got.agg(F.count("ari").alias("draws"), F.round(F.avg("ari"), 9).alias("ari"), F.round(F.percentile("ari", F.lit(0.05)), 9).alias("ari_lo"), F.round(F.percentile("ari", F.lit(0.95)), 9).alias("ari_hi"))
+    return one.crossJoin(left_out.agg(F.round(F.avg("o"), 9).alias("left_out")))
+
+
 def bootstrap_mean(df: DataFrame, entity: str, value: str, group: list[str], draws: int = 200, seed: int = 1) -> DataFrame:
     """(*group, n, mean, lo, hi): percentile bootstrap of a mean over entities.
 
@@ -57,11 +125,7 @@ def bootstrap_mean(df: DataFrame, entity: str, value: str, group: list[str], dra
     not depend on the partitioning. Intervals are widened to hold the mean.
     """
     ready = df.filter(F.col(value).isNotNull()).select(*group, F.col(entity).alias("e"), F.col(value).cast("double").alias("v"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("d"), F.col("e")), F.lit(1 << 40)) / float(1 << 40)
-    weight, low = F.lit(8), 0.0
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    for k in reversed(range(len(cuts))):
-        weight = F.when(u < cuts[k], F.lit(k)).otherwise(weight)
+    weight = poisson_count(seed, F.col("d"), F.col("e"))
     drawn = ready.select(*group, "e", "v", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("d")).withColumn("w", weight)
     means = drawn.groupBy(*group, "d").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     ends = means.groupBy(*group).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))

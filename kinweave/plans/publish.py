@@ -186,3 +186,36 @@ def tech_first_year(s: SparkSession, d: str) -> DataFrame:
 
     tags = F.array_compact(F.array(*[F.when(F.lower("title").rlike(p), F.lit(n)) for n, p in TECH]))
     return t(s, d, "activities").select("ledger_id", year_of(F.col("year")).alias("y"), F.explode(tags).alias("tech")).filter("y IS NOT NULL").groupBy("ledger_id", "tech").agg(F.min("y").alias("first_year"))
+
+
+GROUPS = "d AS (SELECT region, field, count(*) AS n FROM artists WHERE region IS NOT NULL AND field IS NOT NULL GROUP BY 1, 2)"
+
+
+def grouped(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "artists").filter("region IS NOT NULL AND field IS NOT NULL").groupBy("region", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("disclosed_shares", f"WITH {GROUPS}, w AS (SELECT *, sum(n) OVER (PARTITION BY region) AS t, bool_and(n >= 10) OVER (PARTITION BY region) AS whole FROM d) SELECT region, field, CASE WHEN whole THEN CAST(CAST(floor(100 * n / t + 0.5) AS BIGINT) AS VARCHAR) ELSE 'suppressed' END AS share FROM w")
+def disclosed_shares(s: SparkSession, d: str) -> DataFrame:
+    """Percentages of the fields of each region, only where no field is withheld."""
+    return dc.shares(grouped(s, d).withColumn("status", dc.primary(F.col("n"))), ["region"], "n", "status").select("region", "field", "share")
+
+
+@query("full_group_shares", f"WITH {GROUPS}, w AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY region) AS p FROM d) SELECT region, field, CASE WHEN p >= 0.9 THEN '>=90' ELSE CAST(CAST(floor(100 * p + 0.5) AS BIGINT) AS VARCHAR) END AS share FROM w WHERE n >= 10")
+def full_group_shares(s: SparkSession, d: str) -> DataFrame:
+    """Percentages of the whole region, printed for fields of ten or more."""
+    return dc.full_shares(grouped(s, d), ["region"], "n").filter("n >= 10").select("region", "field", "share")
+
+
+@query("margins_match", "WITH a AS (SELECT region, count(*) AS l FROM artists WHERE region IS NOT NULL AND field IS NOT NULL GROUP BY 1), b AS (SELECT region, count(*) AS r FROM artists WHERE region IS NOT NULL AND category IS NOT NULL GROUP BY 1) SELECT coalesce(a.region, b.region) AS region, l AS left_sum, r AS right_sum FROM a FULL JOIN b ON a.region = b.region WHERE l IS DISTINCT FROM r")
+def margins_match(s: SparkSession, d: str) -> DataFrame:
+    """Regions whose people by field and by category do not add up to the same."""
+    other = t(s, d, "artists").filter("region IS NOT NULL AND category IS NOT NULL").groupBy("region", "category").agg(F.count(F.lit(1)).alias("n"))
+    return dc.unequal_margins(grouped(s, d), other, "n", ["region"])
+
+
+@query("unsafe_cells", f"WITH {GROUPS}, x AS (SELECT CASE WHEN n % 7 = 0 THEN 'see LED-000001' ELSE field END AS field, n FROM d) SELECT 'identifier value' AS rule, 'field' AS column, field AS value FROM x WHERE field LIKE 'see LED%' UNION ALL SELECT 'under k', 'n', CAST(n AS VARCHAR) FROM x WHERE n < 10 UNION ALL SELECT 'not rounded', 'n', CAST(n AS VARCHAR) FROM x WHERE n % 5 <> 0")
+def unsafe_cells(s: SparkSession, d: str) -> DataFrame:
+    """What the scan finds in a table of raw counts in which some cells name a row."""
+    x = grouped(s, d).select(F.when(F.col("n") % 7 == 0, "see LED-000001").otherwise(F.col("field")).alias("field"), "n")
+    return dc.unsafe_cells(x, "n", ["n"])

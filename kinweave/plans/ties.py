@@ -121,3 +121,22 @@ def lift_auc(s: SparkSession, d: str) -> DataFrame:
 @query("bootstrap_ci")
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return pt.bootstrap_mean(t(s, d, "customer"), "c_custkey", "c_acctbal", ["c_mktsegment"])
+
+
+@query("counted_scores", f"""WITH {EVENT_TIES}, p AS (SELECT c_custkey AS e, c_mktsegment AS g, CAST(c_custkey % 3 AS DOUBLE) AS c FROM customer WHERE c_custkey % 3 > 0), z AS (SELECT g, sum(c) AS n, sum(c * (c - 1) / 2) AS o FROM p GROUP BY g),
+b AS (SELECT sum(n) * (sum(n) - 1) / 2 - sum(o) AS total, sum(n * (n - 1) / 2) - sum(o) AS same FROM z), u AS (SELECT sum(x.c * y.c) AS t, sum(CASE WHEN x.g = y.g THEN x.c * y.c ELSE 0 END) AS s FROM ties JOIN p x ON x.e = src JOIN p y ON y.e = dst)
+SELECT CAST(total AS BIGINT) AS pairs, CAST(t AS BIGINT) AS ties, CAST(s AS BIGINT) AS inside, round((s / t) / (same / total), 9) AS lift, round((s / t + 1 - (same - s) / (total - t)) / 2, 9) AS auc FROM b, u""")
+def counted_scores(s: SparkSession, d: str) -> DataFrame:
+    """Lift and AUC where customers are present none to two times."""
+    people = t(s, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 3).alias("times"))
+    return pt.counted_scores(people, "c_custkey", "c_mktsegment", "times", event_ties(s, d))
+
+
+@query("score_intervals")
+def score_intervals(s: SparkSession, d: str) -> DataFrame:
+    return pt.score_intervals(t(s, d, "customer"), "c_custkey", "c_mktsegment", event_ties(s, d))
+
+
+@query("partition_stability")
+def partition_stability(s: SparkSession, d: str) -> DataFrame:
+    return pt.stability(t(s, d, "customer"), "c_custkey", "c_mktsegment", "c_nationkey")
