@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gazetteer as gz
 from ..operators import kinds as kd
+from ..operators import venue_merges as vm
 from ..sources.tables import table as t
+from ..storage import Scratch
 from .registry import query
 
 PARTS = r"[,，()（）]"
@@ -81,3 +85,42 @@ def activity_kinds(s: SparkSession, d: str) -> DataFrame:
     self = F.col("source_type") == "SELF"
     section = F.when(self & F.col("activity_type").isin("talk", "publication"), "cv_section=press").when(self & (F.col("activity_type") == "other"), "cv_section=teaching")
     return kd.classify(t(s, d, "activities").withColumn("reviewer_note", section), "activity_id", F.col("origin").startswith("cv:"))
+
+
+def institutions(s: SparkSession, d: str) -> DataFrame:
+    """(activity_id, name, town): the first part of each venue that is no place, and the first city written with it."""
+    parts = t(s, d, "activities").filter("venue IS NOT NULL").select("activity_id", vm.fragments(F.col("venue")).alias("parts"))
+    found = gz.resolve_fragments(parts, "activity_id", F.col("parts"), gz.place_table(t(s, d, "place_names")), {c: c for c in CODES})
+    places = found.groupBy("activity_id").agg(F.collect_set("pos").alias("at"), F.min(F.when(F.col("city") != "", F.struct("pos", "city"))).alias("c"))
+    j = parts.join(places, "activity_id", "left")
+    name = F.get(F.filter("parts", lambda x, i: ~F.array_contains(F.coalesce("at", F.array().cast("array<int>")), i + 1)), 0)
+    return j.select("activity_id", name.alias("name"), F.lower("c.city").alias("town")).filter("name IS NOT NULL")
+
+
+def resolved(s: SparkSession, d: str, rules: tuple[str, ...] = ("V7", "V8", "V9")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = Scratch(s, "institutions").save(institutions(s, d), "rows")
+    table = gz.place_table(t(s, d, "place_names"))
+    return rows, *vm.venue_entities(rows, "name", "town", table, "key", "city", rules)
+
+
+@query("resolved_venues")
+def resolved_venues(s: SparkSession, d: str) -> DataFrame:
+    """The institution of every activity whose venue names one, spellings, rooms and scripts merged."""
+    rows, entities, _ = resolved(s, d)
+    ents = entities.groupBy("name", "town").agg(F.min("entity").alias("entity"))
+    return rows.withColumn("town", F.coalesce("town", F.lit(""))).join(ents, ["name", "town"]).select("activity_id", "name", "entity")
+
+
+@query("venue_merges")
+def venue_merges(s: SparkSession, d: str) -> DataFrame:
+    """The merges of institution keys and the rule of each."""
+    return resolved(s, d)[2]
+
+
+@query("venue_layers")
+def venue_layers(s: SparkSession, d: str) -> DataFrame:
+    """Institutions left under no rule and under each further one."""
+    out = []
+    for name, rules in (("keys", ()), ("V7", ("V7",)), ("V8", ("V7", "V8")), ("V9", ("V7", "V8", "V9"))):
+        out.append(resolved(s, d, rules)[1].agg(F.countDistinct("entity").alias("entities")).select(F.lit(name).alias("layer"), "entities"))
+    return reduce(DataFrame.unionByName, out)
