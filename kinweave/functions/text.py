@@ -18,16 +18,17 @@ CODAS = ("", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p
 
 
 NOT_ASCII = r"[^\x00-\x7F]"
+# a reflected call is no place for nulls: Spark may evaluate it before the condition that guards it
 
 
 def nfc(c: Column) -> Column:
     """Composed form (NFC), by the ICU library that ships with Spark; ASCII passes untouched."""
-    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))).otherwise(c)
+    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))).otherwise(c)
 
 
 def casefold(c: Column) -> Column:
     """Full Unicode case folding, as in straße and STRASSE."""
-    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))).otherwise(F.lower(c))
+    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(c, F.lit("")), F.lit(True))).otherwise(F.lower(c))
 
 
 def norm_text(c: Column) -> Column:
