@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import year_of
@@ -67,6 +67,20 @@ def listed(c: Column, most: int) -> Column:
     return F.concat(F.array_join(F.slice(s, 1, most), "|"), F.when(F.size(s) > most, F.concat(F.lit("|+"), (F.size(s) - most).cast("string"))).otherwise(F.lit("")))
 
 
+def capped_lists(df: DataFrame, group: str, item: str, most: int) -> DataFrame:
+    """(group, ids): ``listed`` for the distinct items of each group, without gathering a group.
+
+    The items are ranked with a constant limit, which is cut per task before the
+    shuffle, and counted beside. Null groups and items are left out.
+    """
+    d = df.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, item).distinct()
+    few = d.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(item))).filter(F.col("__r") <= most)
+    n = d.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    ids = few.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(item)), "|").alias("__ids"))
+    rest = F.col("__n") - most
+    return ids.join(n, group).select(group, F.concat("__ids", F.when(rest > 0, F.concat(F.lit("|+"), rest.cast("string"))).otherwise("")).alias("ids"))
+
+
 def missing_words(rows: DataFrame, texts: DataFrame, row_id: str, entity: str, phrase: str, text: str) -> DataFrame:
     """(row_id, words, missing): rows with words that no text of the same entity holds.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import wilson
+from .joins import hot_keys, skew_left_join
 
 
 def hamilton(sizes: DataFrame, stratum: str, size: str, n: int) -> DataFrame:
@@ -24,12 +25,23 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, quotas: DataFrame,
     """Seeded draw without replacement: the ``quota`` rows of smallest hash per stratum.
 
     The order depends on seed and key only, so a sample is stable under any
-    partitioning; ranks are cut per task before the shuffle.
+    partitioning. Before rows are ranked, a hash threshold a little above the share
+    a quota has of its stratum drops the rest where they are read; a stratum that
+    comes out short of its quota is ranked whole, so the draw is exact.
     """
     h = F.xxhash64(F.lit(seed), F.col(key))
-    w = Window.partitionBy(stratum).orderBy("__h", key)
-    ranked = df.withColumn("__h", h).join(F.broadcast(quotas), stratum).withColumn("__r", F.row_number().over(w))
-    return ranked.filter(F.col("__r") <= F.col("quota")).drop("__h", "__r", "quota")
+    x = df.filter(F.col(stratum).isNotNull()).withColumn("__h", h)
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
+    q = F.col("quota").cast("double")
+    # six standard deviations and some above the expected number
+    bound = quotas.join(sizes, stratum).select(stratum, "quota", F.least("quota", "__n").alias("__due"), F.least(F.lit(1.0), (q + 6 * F.sqrt(q) + 20) / F.col("__n")).alias("__t"))
+    place = (F.col("__h") / float(1 << 63) + 1) / 2
+    kept = skew_left_join(x, bound, stratum, hot_keys(x, stratum), "inner").filter(place <= F.col("__t"))
+    short = bound.join(kept.groupBy(stratum).agg(F.count(F.lit(1)).alias("__k")), stratum, "left").filter(F.coalesce("__k", F.lit(0)) < F.col("__due")).select(stratum, F.lit(True).alias("__short"), F.col("quota").alias("__q"))
+    first = kept.join(short.select(stratum), stratum, "left_anti").select(*df.columns, "__h", "quota")
+    again = skew_left_join(x, short, stratum, hot_keys(x, stratum), "inner").select(*df.columns, "__h", F.col("__q").alias("quota"))
+    ranked = first.unionByName(again).withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key)))
+    return ranked.filter(F.col("__r") <= F.col("quota")).select(*df.columns)
 
 
 def label_scores(df: DataFrame, stratum: str, hit: str) -> DataFrame:

@@ -131,8 +131,8 @@ def programme_profile(s: SparkSession, d: str) -> DataFrame:
 @query("edition_sizes", """SELECT regexp_replace(frame_code, '-[0-9]{4}$', '') AS programme, CASE WHEN grouping(frame_code) = 1 THEN '(all)' ELSE frame_code END AS edition, count(DISTINCT ledger_id) AS members FROM (SELECT frame_code, ledger_id, regexp_replace(frame_code, '-[0-9]{4}$', '') AS p FROM frame_membership WHERE frame_code IS NOT NULL) GROUP BY GROUPING SETS ((regexp_replace(frame_code, '-[0-9]{4}$', ''), frame_code), (regexp_replace(frame_code, '-[0-9]{4}$', '')))""")
 def edition_sizes(s: SparkSession, d: str) -> DataFrame:
     m = t(s, d, "frame_membership").filter("frame_code IS NOT NULL").select("frame_code", "ledger_id", code_family(F.col("frame_code")).alias("programme"))
-    m.createOrReplaceTempView("__members")
-    return s.sql("SELECT programme, CASE WHEN grouping(frame_code) = 1 THEN '(all)' ELSE frame_code END AS edition, count(DISTINCT ledger_id) AS members FROM __members GROUP BY GROUPING SETS ((programme, frame_code), (programme))")
+    got = m.groupingSets([[F.col("programme"), F.col("frame_code")], [F.col("programme")]], F.col("programme"), F.col("frame_code")).agg(F.grouping("frame_code").alias("g"), F.countDistinct("ledger_id").alias("members"))
+    return got.select("programme", F.when(F.col("g") == 1, F.lit("(all)")).otherwise(F.col("frame_code")).alias("edition"), "members")
 
 
 @query("trend_means", f"""WITH {KEPT}, f AS (SELECT ledger_id, min(year) AS y FROM kept WHERE ledger_id IS NOT NULL GROUP BY 1), n AS (SELECT k.ledger_id, f.y, count(DISTINCT k.venue) AS v FROM kept k JOIN f USING (ledger_id) WHERE k.year - f.y <= 5 AND f.y + 5 <= {NOW} GROUP BY 1, 2)

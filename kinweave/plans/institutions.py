@@ -84,7 +84,7 @@ def guarded_groups(s: SparkSession, d: str) -> DataFrame:
     return merged.withColumn("state", F.lit("merged")).unionByName(blocked.withColumn("state", F.lit("blocked")))
 
 
-@query("filled_countries")
+@query("filled_countries", "WITH u AS (SELECT *, regexp_full_match(coalesce(country, ''), '[A-Z]{2}') AS ok FROM artists), v AS (SELECT affiliation, min(country) AS filled FROM u WHERE ok AND affiliation IS NOT NULL GROUP BY 1 HAVING count(DISTINCT country) = 1 AND count(*) >= 2) SELECT ledger_id, filled FROM u JOIN v USING (affiliation) WHERE NOT ok")
 def filled_countries(s: SparkSession, d: str) -> DataFrame:
     """Rows without a usable country, filled from their exactly named affiliation's unanimous one."""
     a = t(s, d, "artists").select("ledger_id", "affiliation", "country")

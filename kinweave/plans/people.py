@@ -64,7 +64,11 @@ def review_queue(s: SparkSession, d: str) -> DataFrame:
     return gates(s, d)[1]
 
 
-@query("merge_survivors")
+SURVIVORS = QUEUE.split("reps AS")[0].rstrip(", \n") + """, c AS (SELECT ledger_id, count(*) AS n FROM activities GROUP BY 1), k AS (SELECT lab.id, root, row_number() OVER (PARTITION BY root ORDER BY coalesce(n, 0) DESC, lab.id) AS p FROM lab LEFT JOIN c ON c.ledger_id = lab.id)
+SELECT a.id AS dropped, b.id AS kept FROM k a JOIN k b ON a.root = b.root AND b.p = 1 WHERE a.p > 1"""
+
+
+@query("merge_survivors", SURVIVORS)
 def merge_survivors(s: SparkSession, d: str) -> DataFrame:
     """Who is dropped into whom: the row with most activities survives."""
     n = t(s, d, "activities").groupBy("ledger_id").agg(F.count(F.lit(1)).alias("n"))

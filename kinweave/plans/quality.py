@@ -48,8 +48,7 @@ def entity_measures(s: SparkSession, d: str) -> DataFrame:
 
 @query("capped_id_lists", "WITH g AS (SELECT affiliation, list_sort(list_distinct(list(ledger_id))) AS v FROM artists WHERE affiliation IS NOT NULL GROUP BY 1) SELECT affiliation, array_to_string(list_slice(v, 1, 3), '|') || CASE WHEN len(v) > 3 THEN '|+' || CAST(len(v) - 3 AS VARCHAR) ELSE '' END AS ids FROM g")
 def capped_id_lists(s: SparkSession, d: str) -> DataFrame:
-    g = t(s, d, "artists").filter("affiliation IS NOT NULL").groupBy("affiliation").agg(F.collect_set("ledger_id").alias("v"))
-    return g.select("affiliation", ql.listed(F.col("v"), 3).alias("ids"))
+    return ql.capped_lists(t(s, d, "artists"), "affiliation", "ledger_id", 3)
 
 
 @query("review_sync", "WITH w AS (SELECT DISTINCT ledger_id FROM artists WHERE verification = 'UNVERIFIED'), o AS (SELECT DISTINCT ledger_id FROM artists WHERE name_en IS NULL) SELECT coalesce(w.ledger_id, o.ledger_id) AS ledger_id, CASE WHEN o.ledger_id IS NULL THEN 'open' WHEN w.ledger_id IS NULL THEN 'close' ELSE 'keep' END AS action FROM w FULL JOIN o ON w.ledger_id = o.ledger_id")
@@ -71,11 +70,17 @@ def paired_ids(s: SparkSession, d: str) -> DataFrame:
     return rv.paired_changes(old, a.filter("verification = 'VERIFIED'").select("region", "field", F.col("ledger_id").alias("new_id")), ["region", "field"], "old_id", "new_id")
 
 
-@query("version_rows")
+@query("version_rows", """WITH r AS (SELECT gy_id, name_ko, name_en, affiliation, row_number() OVER (PARTITION BY gy_id ORDER BY collected_at, ledger_id) AS a, row_number() OVER (PARTITION BY gy_id ORDER BY collected_at DESC, ledger_id DESC) AS z FROM artists WHERE gy_id IS NOT NULL AND trim(gy_id) <> '' AND collected_at IS NOT NULL)
+SELECT n.gy_id, n.name_ko, n.name_en, n.affiliation, 2 AS version FROM (SELECT * FROM r WHERE z = 1) n JOIN (SELECT * FROM r WHERE a = 1) o USING (gy_id) WHERE n.name_ko IS DISTINCT FROM o.name_ko OR n.name_en IS DISTINCT FROM o.name_en OR n.affiliation IS DISTINCT FROM o.affiliation""")
 def version_rows(s: SparkSession, d: str) -> DataFrame:
-    """First versions of all rows of an empty history."""
-    empty = s.createDataFrame([], "ledger_id string, version int, digest string")
-    return rv.version_rows(empty, t(s, d, "artists"), ["ledger_id"], ["name_ko", "name_en", "affiliation"], F.lit("2026-01-01"))
+    """Second versions: published ids whose latest row says something else than their first."""
+    content = ["name_ko", "name_en", "affiliation"]
+    a = t(s, d, "artists").filter("gy_id IS NOT NULL AND trim(gy_id) <> '' AND collected_at IS NOT NULL")
+    row, at = F.struct(*content), F.struct("collected_at", "ledger_id")
+    ends = a.groupBy("gy_id").agg(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"))
+    none = s.createDataFrame([], "gy_id string, version int, digest string")
+    history = rv.version_rows(none, ends.select("gy_id", "first.*"), ["gy_id"], content, F.lit("2025-01-01"))
+    return rv.version_rows(history, ends.select("gy_id", "last.*"), ["gy_id"], content, F.lit("2026-01-01")).select("gy_id", *content, "version")
 
 
 WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"

@@ -43,9 +43,11 @@ def upsert_fill(s: SparkSession, d: str) -> DataFrame:
     return mg.upsert(t(s, d, "artists").select("ledger_id", F.col("reviewer_note").alias("note")), new, ["ledger_id"], ["note"])
 
 
-@query("insert_absent", "SELECT DISTINCT ledger_id FROM activities WHERE ledger_id IS NOT NULL AND ledger_id NOT IN (SELECT ledger_id FROM artists WHERE ledger_id IS NOT NULL)")
+@query("insert_absent", "SELECT DISTINCT id AS ledger_id FROM (SELECT kept AS id FROM merge_records UNION ALL SELECT dropped FROM merge_records) WHERE id IS NOT NULL AND id NOT IN (SELECT ledger_id FROM artists WHERE ledger_id IS NOT NULL)")
 def insert_absent(s: SparkSession, d: str) -> DataFrame:
-    return mg.insert_absent(t(s, d, "artists").select("ledger_id"), t(s, d, "activities").filter("ledger_id IS NOT NULL").select("ledger_id"), ["ledger_id"])
+    """Merged ids the table of artists lacks."""
+    ids = t(s, d, "merge_records").select(F.explode(F.array("kept", "dropped")).alias("ledger_id")).filter("ledger_id IS NOT NULL")
+    return mg.insert_absent(t(s, d, "artists").select("ledger_id"), ids, ["ledger_id"])
 
 
 @query("membership_dedupe", "SELECT ledger_id, frame_code, min(attach_rule) AS attach_rule, count(*) AS rows FROM frame_membership WHERE ledger_id IS NOT NULL AND frame_code IS NOT NULL GROUP BY 1, 2")

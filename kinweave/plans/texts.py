@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,12 @@ def link_types(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "artists").select("ledger_id", ur.link_type(F.col("source_url")).alias("link_type"))
 
 
-@query("romanised_names")
+PARTS = {k: "['" + "', '".join(v) + "']" for k, v in (("on", tx.ONSETS), ("nu", tx.NUCLEI), ("co", tx.CODAS))}
+LATIN = f"array_to_string(list_transform(regexp_extract_all(name_ko, '(?s).'), lambda c: CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN ({PARTS['on']})[(unicode(c) - 44032) // 588 + 1] || ({PARTS['nu']})[(unicode(c) - 44032) % 588 // 28 + 1] || ({PARTS['co']})[(unicode(c) - 44032) % 28 + 1] ELSE c END), '')"
+CONFUSED = reduce(lambda x, ab: f"replace({x}, '{ab[0]}', '{ab[1]}')", tx.CONFUSED, "regexp_replace(lower(latin), '[^a-z0-9]', '', 'g')")
+
+
+@query("romanised_names", f"WITH l AS (SELECT ledger_id, {LATIN} AS latin FROM artists WHERE name_ko IS NOT NULL), c AS (SELECT *, regexp_extract_all({CONFUSED}, '(?s).') AS cs FROM l) SELECT ledger_id, latin, array_to_string(list_filter(cs, lambda x, i: i = 1 OR x <> cs[i - 1]), '') AS skeleton FROM c")
 def romanised_names(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "artists").filter("name_ko IS NOT NULL").select("ledger_id", tx.romanise(F.col("name_ko")).alias("latin"), tx.skeleton(tx.romanise(F.col("name_ko"))).alias("skeleton"))
 
