@@ -1,6 +1,6 @@
 import pytest
 
-from kinweave.llm.places import Places, Trie, venue_places
+from kinweave.llm.places import Places, Trie, allowed, neighbourhood, venue_places
 from kinweave.llm.names import edits
 
 from ..conftest import rows
@@ -35,3 +35,18 @@ def test_rows(spark):
     assert got.filter("row_id = '2' OR row_id = '3'").count() == 0 and rows(got.filter("row_id IS NULL")) == [(None, "")]
     assert rows(venue_places(df.limit(1), "i", "venue", ref.limit(0))) == [("1", "")]
     assert venue_places(df.limit(0), "i", "venue", ref).count() == 0
+
+
+def test_words_within_the_allowed_edits_have_a_shorter_one_in_common():
+    for a, b in (("abcdef", "abdcef"), ("abcdefghijklm", "abxcdefgijklm"), ("abcdefghijklm", "bacdefghijkml"), ("abcdef", "abcef")):
+        d = edits(a, b, 2)
+        assert neighbourhood(a, d) & neighbourhood(b, d)
+    assert [allowed(n) for n in (4, 5, 11, 12)] == [0, 1, 1, 2]
+
+
+def test_a_reference_too_long_for_a_task(spark):
+    ref = spark.createDataFrame(ENTRIES + [(f"Place{i:05d}", f"P{i}", "KR", i) for i in range(400)], "name string, canonical string, country string, population bigint")
+    venues = ["The Hall, Harberpolis", "Gallery Gilrolepolis", "두별바시립미술관", "홀 X (두별마)", "New Narbimenia Hall", "Hall, Place00017", "Hall, Samenamz, DE", "K-Ann & Sons Hall", "Hall (Plaec00300)"]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(venues)], "i string, venue string")
+    want = rows(venue_places(df, "i", "venue", ref))
+    assert ("5", "P17") in want and rows(venue_places(df, "i", "venue", ref, most=4)) == want
