@@ -10,9 +10,10 @@ than the merge itself, so one ascending pass is exact.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,10 @@ WORD_MEMORY = 150_000
 
 
 class Bpe:
-    """Ranks of one vocabulary file and the words encoded so far."""
+    """Ranks of one vocabulary, given as the bytes of its file, and the words encoded so far."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, vocabulary: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.single = [self.ranks[bytes([i])] for i in range(256)]
         self.merged: dict[tuple[int, int], int] = {}
@@ -134,20 +134,33 @@ class Bpe:
         return [[i for w in ws for i in known[w]] for ws in split]
 
 
-@lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    return Bpe(Path(path).read_bytes())
+
+
+_held: dict[str, Bpe] = {}
+
+
+def _bpe(key: str, vocabulary: bytes) -> Bpe:
+    """The vocabulary of one file, kept by the worker between its tasks."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Bpe(vocabulary)
+    return _held[key]
 
 
 def encoded(docs: DataFrame, doc_id: str, text: str, path: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> DataFrame:
     """(doc_id, ids array<int>): one row per row of ``docs``, without special tokens.
 
     A null or empty text gives an empty list; special-token strings inside a text
-    are ordinary text; texts are encoded whole. No shuffle.
+    are ordinary text; texts are encoded whole. No shuffle. The vocabulary is read
+    where the query is built and sent to the executors (a file of about 1 MB).
     """
+    vocabulary = Path(path).read_bytes()
+    key, shared = hashlib.sha256(vocabulary).hexdigest(), docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = _bpe(key, shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
