@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
+from .joins import hot_keys, skew_left_join
 
 #: Members a block of a large group may hold; pairs of blocks are the unit of work.
 BLOCK = 1000
@@ -28,9 +29,9 @@ def pairs_of(members: DataFrame, block: int = BLOCK) -> DataFrame:
     every pair of blocks is joined on its own key. Groups of one give no pair. The
     members are written once, so the source is scanned once.
     """
-    members = Scratch(members.sparkSession, "pairs").save(members.select("grp", "entity"), "members")
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    m = members.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    members, total = Scratch(members.sparkSession, "pairs").counted(members.select("grp", "entity"), "members")
+    large = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    m = skew_left_join(members, large, "grp", hot_keys(members, "grp", total=total)).withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     m = m.select("grp", "entity", "blocks", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int").alias("b"))
     small = m.filter("blocks = 1").select("grp", "entity")
     x, y = small.alias("x"), small.alias("y")

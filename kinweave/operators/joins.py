@@ -11,14 +11,17 @@ HOT_SHARE = 1 / 1000
 MANY = 10_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, total: int | None = None) -> DataFrame:
     """Keys with at least ``share`` of the rows: at most ``1/share`` rows, so safe to broadcast.
 
-    Counts are combined on the map side; only one row per key and map task is shuffled.
+    Counts are combined on the map side; only one row per key and map task is
+    shuffled. With ``total`` known, ``df`` is scanned once.
     """
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__all"))
-    return n.crossJoin(F.broadcast(total)).filter(F.col("__n") >= F.greatest(F.lit(2), F.col("__all") * share)).select(key)
+    if total is not None:
+        return n.filter(F.col("__n") >= max(2, total * share)).select(key)
+    every = df.agg(F.count(F.lit(1)).alias("__all"))
+    return n.crossJoin(F.broadcast(every)).filter(F.col("__n") >= F.greatest(F.lit(2), F.col("__all") * share)).select(key)
 
 
 def skew_left_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
