@@ -160,8 +160,7 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _labels(forest: DataFrame, rounds: int, total: int, work: Scratch, member: str, group: str) -> DataFrame:
     """Pointer doubling to the roots, then the smallest id under each root."""
-    ptr = work.save(forest, "ptr0")
-    work.keep_only("ptr0")
+    ptr = forest
     for k in range(1, max(1, (rounds - 1).bit_length()) + 1):
         up = ptr.select(F.col("v").alias("parent"), F.col("parent").alias("next"))
         ptr = balanced_join(ptr, up, "parent", total).select("v", F.coalesce("next", "parent").alias("parent"))
