@@ -145,8 +145,13 @@ def _class(code_points: set[int], gap: int = GAP) -> str:
 
 
 def may_differ(look: dict[str, str], table: list[tuple[str, str, list[tuple[int, int]]]]) -> str:
-    """The pattern of cells that may change: every character of the map, every part of a composition, and mixed words."""
-    alone = {ord(ch) for ch, when, _ in table if when != "mixed"} | set(spacing_seconds()) | set(range(0x1100, 0x1200))
+    """The pattern of cells that may change: every character that does not come out as itself, every part of a composition, and mixed words.
+
+    A composed letter is taken apart and put together again; it changes only beside
+    a mark, which the pattern holds.
+    """
+    back = lambda to: unicodedata.normalize("NFC", "".join(chr(c) for c, _ in to))
+    alone = {ord(ch) for ch, when, to in table if when != "mixed" and (back(to) != ch or unicodedata.combining(ch))} | set(spacing_seconds()) | set(range(0x1100, 0x1200))
     foreign = _class({ord(ch) for ch in look})
     inside = r"[^\s\p{Z},:;()/]*"
     return rf"{_class(alone)}|{LATIN}{inside}{foreign}|{foreign}{inside}{LATIN}"
