@@ -1,4 +1,4 @@
 """Named queries; importing the modules registers them."""
 
-from . import archive, careers, cells, institutions, people, places, publish, quality, records, texts, ties
+from . import archive, careers, cells, institutions, people, places, publish, quality, records, streams, texts, ties
 from .registry import QUERIES, SQL

@@ -82,3 +82,10 @@ def code_families(s: SparkSession, d: str) -> DataFrame:
 def collapsed_texts(s: SparkSession, d: str) -> DataFrame:
     docs = t(s, d, "documents").filter("text IS NOT NULL")
     return docs.select("doc_id", F.md5(ar.collapse(F.col("text"))).alias("collapsed"), F.md5(ar.strip_punct(F.col("text"))).alias("words"))
+
+
+@query("note_tokens", r"SELECT ledger_id, trim(split_part(x, '=', 1)) AS token, trim(substr(x, strpos(x, '=') + 1)) AS value FROM (SELECT ledger_id, unnest(string_split(reviewer_note, ';')) AS x FROM artists) WHERE contains(x, '=')")
+def note_tokens(s: SparkSession, d: str) -> DataFrame:
+    """The ``key=value`` parts of notes."""
+    part = F.explode(F.filter(F.split("reviewer_note", ";"), lambda x: x.contains("="))).alias("x")
+    return t(s, d, "artists").select("ledger_id", part).select("ledger_id", F.trim(F.split("x", "=", 2)[0]).alias("token"), F.trim(F.split("x", "=", 2)[1]).alias("value"))
