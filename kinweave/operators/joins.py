@@ -39,6 +39,11 @@ def skew_left_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, h
     return warm.select(*big.columns, *cols).unionByName(cold.select(*big.columns, *cols))
 
 
+def hub_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``skew_left_join`` with the hot keys of ``big``."""
+    return skew_left_join(big, small, key, hot_keys(big, key), how)
+
+
 def hot_values(written: DataFrame, key: str, total: int, share: float = HOT_SHARE) -> list:
     """As ``hot_keys`` for a written table of known size, as at most ``1/share`` values."""
     n = written.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import Scratch
 from .components import components
 from .copresence import pairs_of
-from .joins import hot_keys, skew_left_join
+from .joins import hot_keys, hub_join, skew_left_join
 
 
 def key_stars(df: DataFrame, record: str, keys: Column, rule: str) -> DataFrame:
@@ -78,13 +78,13 @@ def survivors(records: DataFrame, record: str, weight: str, merges: DataFrame) -
     comp = components(merges, "src", "dst")
     w = comp.join(records.select(F.col(record).alias("id"), F.col(weight).alias("w")), "id", "left")
     keep = w.groupBy("root").agg(F.min_by("id", F.struct(-F.coalesce("w", F.lit(0)), F.col("id"))).alias("kept"))
-    return w.join(keep, "root").filter("id <> kept").select(F.col("id").alias("dropped"), "kept")
+    return hub_join(w, keep, "root", "inner").filter("id <> kept").select(F.col("id").alias("dropped"), "kept")
 
 
 def repointed(child: DataFrame, key: str, redirects: DataFrame) -> DataFrame:
     """A child table with retired ids replaced by their survivors."""
     r = redirects.select(F.col("dropped").alias(key), F.col("kept").alias("__to"))
-    return child.join(r, key, "left").withColumn(key, F.coalesce("__to", key)).select(*child.columns)
+    return hub_join(child, r, key).withColumn(key, F.coalesce("__to", key)).select(*child.columns)
 
 
 def ambiguous(df: DataFrame, key: str, group: str, least: int = 2) -> DataFrame:

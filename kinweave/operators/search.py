@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import hub_join
+
 from ..functions.stats import cosine
 
 
@@ -62,6 +64,5 @@ def hybrid_search(df: DataFrame, query: str, text: str, vector: str, qvec: list[
 
 def shared_only(df: DataFrame, value: str, entity: str, least: int = 2) -> DataFrame:
     """The rows with ``value`` blanked where fewer than ``least`` entities have it."""
-    many = df.groupBy(value).agg(F.countDistinct(entity).alias("__n")).filter(F.col("__n") >= least).select(F.col(value).alias("__v"))
-    marked = df.join(many, F.col(value) == F.col("__v"), "left")
-    return marked.withColumn(value, F.col("__v")).drop("__v")
+    many = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.countDistinct(entity).alias("__n")).filter(F.col("__n") >= least).select(value, F.lit(True).alias("__many"))
+    return hub_join(df, many, value).withColumn(value, F.when(F.col("__many"), F.col(value))).drop("__many")

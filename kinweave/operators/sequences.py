@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import hub_join
+
 
 def runs(df: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:
     """(*part, value, start, length): maximal runs of equal neighbours (gaps and islands)."""
@@ -55,7 +57,7 @@ def longest_prefix(df: DataFrame, code: str, prefixes: DataFrame, prefix: str, l
     codes = df.select(code).filter(F.length(code) > 0).distinct()
     tried = codes.select(code, F.explode(F.transform(cut, lambda i: F.substring(F.col(code), F.lit(1), i))).alias("__p"))
     best = tried.join(prefixes.select(F.col(prefix).alias("__p")).distinct(), "__p").groupBy(code).agg(F.max_by("__p", F.length("__p")).alias("matched"))
-    return df.join(best, code, "left")
+    return hub_join(df, best, code)
 
 
 def first_pattern(text: Column, patterns: list[tuple[str, str]], otherwise: str = "") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import venues as vn
 from ..functions.text import match_key
 from ..operators import institutions as it
+from ..operators.joins import hub_join
 from ..sources.tables import table as t
 from .registry import query
 from .ties import KEY
@@ -80,7 +81,7 @@ def guarded_groups(s: SparkSession, d: str) -> DataFrame:
     """Rows joined by a Latin name key, but only where the group agrees in country."""
     a = t(s, d, "artists").select("ledger_id", match_key(F.col("name_en")).alias("k"), "country").filter("k <> ''")
     hub = a.groupBy("k").agg(F.min("ledger_id").alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    merged, blocked = it.guarded_components(a.join(hub, "k").select("ledger_id", "h"), "ledger_id", "h", a, "ledger_id", "country")
+    merged, blocked = it.guarded_components(hub_join(a, hub, "k", "inner").select("ledger_id", "h"), "ledger_id", "h", a, "ledger_id", "country")
     return merged.withColumn("state", F.lit("merged")).unionByName(blocked.withColumn("state", F.lit("blocked")))
 
 

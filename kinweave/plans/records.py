@@ -10,6 +10,7 @@ from ..functions.text import hangul_compact, match_key, script_of, uuid5
 from ..operators import components as cc
 from ..operators import merge as mg
 from ..operators import sequences as sq
+from ..operators.joins import hub_join
 from ..sources.tables import table as t
 from .registry import query
 from .ties import KEY
@@ -92,7 +93,7 @@ def shared_name_groups(s: SparkSession, d: str) -> DataFrame:
     """Rows of equal name key as groups: each row once with its group, no pair is listed."""
     k = t(s, d, "artists").select(F.col("ledger_id").alias("id"), match_key(F.col("name_en")).alias("key")).filter("key <> ''")
     hub = k.groupBy("key").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "root")
-    return k.join(hub, "key").select("id", "root")
+    return hub_join(k, hub, "key", "inner").select("id", "root")
 
 
 COMPONENTS = rf"""WITH RECURSIVE k AS (SELECT id, key FROM (SELECT ledger_id AS id, unnest(['k:' || array_to_string(regexp_extract_all(name_ko, '[가-힣]+'), ''), 'e:' || {KEY.format("name_en")}, 'g:' || gy_id]) AS key FROM artists) WHERE length(key) > 2), h AS (SELECT key, min(id) AS h FROM k GROUP BY 1 HAVING count(*) > 1),
@@ -106,7 +107,7 @@ def connected_components(s: SparkSession, d: str) -> DataFrame:
     keys = F.explode(F.array(F.concat(F.lit("k:"), hangul_compact(F.col("name_ko"))), F.concat(F.lit("e:"), match_key(F.col("name_en"))), F.concat(F.lit("g:"), F.col("gy_id"))))
     e = a.select(F.col("ledger_id").alias("id"), keys.alias("key")).filter("length(key) > 2")
     hub = e.groupBy("key").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return cc.components(e.join(hub, "key").select("id", "root"), "id", "root")
+    return cc.components(hub_join(e, hub, "key", "inner").select("id", "root"), "id", "root")
 
 
 @query("script_name_keys", f"SELECT ledger_id, CASE WHEN regexp_matches(coalesce(nullif(name_ko, ''), name_en), '[가-힣]') THEN 'hangul' WHEN regexp_matches(coalesce(nullif(name_ko, ''), name_en), '[A-Za-z]') THEN 'latin' ELSE '' END AS script, {KEY.format('coalesce(nullif(name_ko, %s), name_en)' % repr(''))} AS key FROM artists")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..functions.dates import year_of
+from ..operators.joins import hub_join
 from ..sources.tables import table as t
 from .registry import query
 from .ties import KEY
@@ -91,7 +92,7 @@ def title_classes(s: SparkSession, d: str) -> DataFrame:
     """Rows of equal title key with their class; copies are members, not pairs."""
     k = t(s, d, "activities").select("activity_id", tx.match_key(F.col("title")).alias("key")).filter("key <> ''")
     h = k.groupBy("key").agg(F.min("activity_id").alias("class_id"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return k.join(h, "key").select("activity_id", "class_id", "members")
+    return hub_join(k, h, "key", "inner").select("activity_id", "class_id", "members")
 
 
 @query("content_digest")
