@@ -17,18 +17,19 @@ NUCLEI = ("a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe"
 CODAS = ("", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t")
 
 
-NOT_ASCII = r"[^\x00-\x7F]"
+#: ASCII and whole Hangul syllables are composed already and fold to their lower case.
+UNCOMMON = r"[^\x00-\x7F\x{AC00}-\x{D7A3}]"
 # a reflected call is no place for nulls: Spark may evaluate it before the condition that guards it
 
 
 def nfc(c: Column) -> Column:
-    """Composed form (NFC), by the ICU library that ships with Spark; ASCII passes untouched."""
-    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))).otherwise(c)
+    """Composed form (NFC), by the ICU library that ships with Spark; what is composed already passes untouched."""
+    return F.when(c.rlike(UNCOMMON), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))).otherwise(c)
 
 
 def casefold(c: Column) -> Column:
     """Full Unicode case folding, as in straße and STRASSE."""
-    return F.when(c.rlike(NOT_ASCII), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(c, F.lit("")), F.lit(True))).otherwise(F.lower(c))
+    return F.when(c.rlike(UNCOMMON), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(c, F.lit("")), F.lit(True))).otherwise(F.lower(c))
 
 
 def norm_text(c: Column) -> Column:
@@ -38,7 +39,9 @@ def norm_text(c: Column) -> Column:
 
 def match_key(c: Column) -> Column:
     """Letters and digits of the composed text only, without regard to case."""
-    return F.regexp_replace(casefold(norm_text(c)), r"[^\p{L}\p{N}]+", "")
+    # one test decides for both steps; the signs that composing leaves go in any case
+    fold = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False)), F.lit(True))
+    return F.regexp_replace(F.when(c.rlike(UNCOMMON), fold).otherwise(F.lower(c)), r"[^\p{L}\p{N}]+", "")
 
 
 def script_shares(c: Column) -> tuple[Column, Column, Column]:

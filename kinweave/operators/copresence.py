@@ -31,11 +31,11 @@ def pairs_of(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     members, total = Scratch(members.sparkSession, "pairs").counted(members.select("grp", "entity"), "members")
     large = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    if not large.take(1):
+        return _within(members).distinct()
     m = skew_left_join(members, large, "grp", hot_keys(members, "grp", total=total)).withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     m = m.select("grp", "entity", "blocks", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int").alias("b"))
-    small = m.filter("blocks = 1").select("grp", "entity")
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.col("x.grp") == F.col("y.grp")).filter(F.col("x.entity") < F.col("y.entity")).select(F.col("x.entity").alias("src"), F.col("y.entity").alias("dst"))
+    pairs = _within(m.filter("blocks = 1").select("grp", "entity"))
     # each member of a large group goes to every pair of blocks that holds its own
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     large = m.filter("blocks > 1").select("grp", "entity", "b", F.explode(other).alias("o"))
@@ -47,6 +47,12 @@ def pairs_of(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.unionByName(hot).distinct()
 
 
+def _within(members: DataFrame) -> DataFrame:
+    """(src, dst) of all pairs inside each group of at most one block."""
+    x, y = members.alias("x"), members.alias("y")
+    return x.join(y, F.col("x.grp") == F.col("y.grp")).filter(F.col("x.entity") < F.col("y.entity")).select(F.col("x.entity").alias("src"), F.col("y.entity").alias("dst"))
+
+
 def degrees(ties: DataFrame) -> DataFrame:
     """(entity, degree): number of partners of each entity with one."""
     ends = ties.select(F.explode(F.array("src", "dst")).alias("entity"))
