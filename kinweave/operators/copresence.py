@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
+from .dense_pairs import Members, blocks_for
 from .joins import hot_keys, skew_left_join
 
 #: Members a block of a large group may hold; pairs of blocks are the unit of work.
 BLOCK = 1000
+#: Pairs, counted in every group that has them, up to which they are joined and made distinct.
+LISTED = 5_000_000
+#: About what is shuffled for a joined pair, and for a member each time it is packed.
+JOINED_BYTES, PACKED_BYTES = 8, 2
 
 
 def presences(df: DataFrame, entity: str, group: list[Column], keep: Column) -> DataFrame:
@@ -21,18 +26,39 @@ def presences(df: DataFrame, entity: str, group: list[Column], keep: Column) ->
     return df.filter(keep & some).select(grp.alias("grp"), F.col(entity).alias("entity")).distinct()
 
 
-def pairs_of(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def pairs_of(members: DataFrame, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
     """(src, dst), src < dst: distinct unordered pairs that share at least one group.
 
-    The pairs of a group are the result by definition, but no task holds a
-    group: a group of n members is cut into ceil(n / block) blocks by hash, and
-    every pair of blocks is joined on its own key. Groups of one give no pair. The
-    members are written once, so the source is scanned once.
+    The pairs are the result by definition; up to ``listed`` of them, counted in
+    every group that has them, are joined and made distinct. More of them, and far
+    more than members, are found as bits, where a pair exists once (``dense_pairs``).
+    The members are written once, so the source is scanned once.
     """
+    members, total, most, dense = _weighed(members, listed)
+    return dense.pairs() if dense else _joined(members, total, most, block)
+
+
+def _weighed(members: DataFrame, listed: int) -> tuple[DataFrame, int, int, Members | None]:
+    """Written members, their number, the largest group, and their numbered form where the pairs are too many to be joined."""
     members, total = Scratch(members.sparkSession, "pairs").counted(members.select("grp", "entity"), "members")
-    large = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    if not large.take(1):
+    n = F.col("n").cast("double")
+    one = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0.0)).alias("pairs")).first()
+    dense = one["pairs"] > listed
+    if dense:
+        entities = members.agg(F.approx_count_distinct("entity")).first()[0]
+        dense = one["pairs"] * JOINED_BYTES > total * blocks_for(entities) * PACKED_BYTES
+    return members, total, one["most"], Members(members, total) if dense else None
+
+
+def _joined(members: DataFrame, total: int, most: int, block: int) -> DataFrame:
+    """Distinct pairs by a join on the group, which no task holds.
+
+    A group of n members is cut into ceil(n / block) blocks by hash, and every pair
+    of blocks is joined on its own key. Groups of one give no pair.
+    """
+    if most <= block:
         return _within(members).distinct()
+    large = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
     m = skew_left_join(members, large, "grp", hot_keys(members, "grp", total=total)).withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     m = m.select("grp", "entity", "blocks", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int").alias("b"))
     pairs = _within(m.filter("blocks = 1").select("grp", "entity"))
