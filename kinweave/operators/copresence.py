@@ -85,6 +85,12 @@ def degrees(ties: DataFrame) -> DataFrame:
     return ends.groupBy("entity").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def degrees_of(members: DataFrame, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
+    """``degrees`` of the pairs of ``members``, which are not listed where they are too many to be joined."""
+    members, total, most, dense = _weighed(members, listed)
+    return dense.degrees() if dense else degrees(_joined(members, total, most, block))
+
+
 def limited(ties: DataFrame, people: DataFrame, key: str) -> DataFrame:
     """Ties with both ends among ``people``."""
     some = people.select(F.col(key).alias("p")).distinct()

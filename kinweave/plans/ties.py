@@ -56,7 +56,7 @@ def copresence_ties(s: SparkSession, d: str) -> DataFrame:
 
 @query("copresence_degree", f"WITH {EVENT_TIES} SELECT e AS entity, count(*) AS degree FROM (SELECT src AS e FROM ties UNION ALL SELECT dst FROM ties) GROUP BY e")
 def copresence_degree(s: SparkSession, d: str) -> DataFrame:
-    return co.degrees(event_ties(s, d))
+    return co.degrees_of(event_members(s, d))
 
 
 @query("copresence_limited", f"WITH {EVENT_TIES} SELECT src, dst FROM ties WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")

@@ -38,3 +38,11 @@ def test_repeated_pairs_are_not_shuffled(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "src" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
     assert rows(got) == sorted(itertools.combinations(range(60), 2), key=repr)
+
+
+def test_degrees_without_listing_pairs(spark):
+    m = drawn(spark)
+    want = rows(co.degrees(co.pairs_of(m)))
+    assert rows(co.degrees_of(m)) == want
+    got = Members(m, m.count(), 12, 5).degrees()
+    assert rows(got) == want and "Generate explode(dsts" not in got._jdf.queryExecution().toString()
