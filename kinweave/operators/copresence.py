@@ -34,8 +34,14 @@ def pairs_of(members: DataFrame, block: int = BLOCK, listed: int = LISTED) -> Da
     more than members, are found as bits, where a pair exists once (``dense_pairs``).
     The members are written once, so the source is scanned once.
     """
+    ties, dense = pairs_or_members(members, listed, block)
+    return dense.pairs() if dense else ties
+
+
+def pairs_or_members(members: DataFrame, listed: int = LISTED, block: int = BLOCK) -> tuple[DataFrame | None, Members | None]:
+    """Pairs where they are few enough to be joined, else the members they can be summed up from."""
     members, total, most, dense = _weighed(members, listed)
-    return dense.pairs() if dense else _joined(members, total, most, block)
+    return (None, dense) if dense else (_joined(members, total, most, block), None)
 
 
 def _weighed(members: DataFrame, listed: int) -> tuple[DataFrame, int, int, Members | None]:
@@ -87,8 +93,8 @@ def degrees(ties: DataFrame) -> DataFrame:
 
 def degrees_of(members: DataFrame, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
     """``degrees`` of the pairs of ``members``, which are not listed where they are too many to be joined."""
-    members, total, most, dense = _weighed(members, listed)
-    return dense.degrees() if dense else degrees(_joined(members, total, most, block))
+    ties, dense = pairs_or_members(members, listed, block)
+    return dense.degrees() if dense else degrees(ties)
 
 
 def limited(ties: DataFrame, people: DataFrame, key: str) -> DataFrame:

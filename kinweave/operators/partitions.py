@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .copresence import LISTED, pairs_or_members
+
 
 def choose2(n: Column) -> Column:
     n = n.cast("double")
@@ -33,22 +35,47 @@ def adjusted_rand(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return one.select(F.when(same | (down == 0), 1.0).otherwise(F.round(F.try_divide(2 * (F.col("s") * F.col("tt") - F.col("a") * F.col("b")), down), 9)).alias("ari"))
 
 
+def _scored(one: DataFrame) -> DataFrame:
+    """Adds lift and auc to (same, total, t, s): pairs inside groups and in all, ties in all and inside; null where not defined."""
+    defined = (F.col("t") > 0) & (F.col("t") != F.col("total")) & (F.col("same") > 0)
+    inside = F.try_divide(F.col("s"), F.col("t"))
+    lift = F.try_divide(inside, F.try_divide(F.col("same"), F.col("total")))
+    auc = (inside + 1 - F.try_divide(F.col("same") - F.col("s"), F.col("total") - F.col("t"))) / 2
+    return one.withColumns({"lift": F.when(defined, F.round(lift, 9)), "auc": F.when(defined, F.round(auc, 9))})
+
+
+def _lift_of(placed: DataFrame, tied: DataFrame) -> DataFrame:
+    """One row: ties, inside, lift, auc of the sums (t, s) over all pairs of ``placed``."""
+    sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.agg(F.sum(choose2(F.col("n"))).alias("same"), choose2(F.sum("n")).alias("total"))
+    return _scored(base.crossJoin(tied)).select(F.col("t").cast("long").alias("ties"), F.col("s").cast("long").alias("inside"), "lift", "auc")
+
+
+def _placed(assignment: DataFrame, entity: str, group: str) -> DataFrame:
+    return assignment.filter(F.col(group).isNotNull()).select(F.col(entity).alias("e"), F.col(group).alias("g"))
+
+
 def lift_auc(assignment: DataFrame, entity: str, group: str, ties: DataFrame) -> DataFrame:
     """One row: lift and AUC of ties falling inside groups, over all pairs of placed entities.
 
     Pairs are counted in closed form, never listed. Ties with an unplaced end are
     left out; the scores are null where every or no pair is tied or no pair is inside.
     """
-    placed = assignment.filter(F.col(group).isNotNull()).select(F.col(entity).alias("e"), F.col(group).alias("g"))
-    sizes = placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    base = sizes.agg(F.sum(choose2(F.col("n"))).alias("same"), choose2(F.sum("n")).alias("total"))
+    placed = _placed(assignment, entity, group)
     src, dst = placed.toDF("src", "gs"), placed.toDF("dst", "gd")
     tied = ties.join(src, "src").join(dst, "dst").agg(F.count(F.lit(1)).cast("double").alias("t"), F.count_if(F.col("gs") == F.col("gd")).cast("double").alias("s"))
-    one = base.crossJoin(tied)
-    defined = (F.col("t") > 0) & (F.col("t") != F.col("total")) & (F.col("same") > 0)
-    lift = F.try_divide(F.try_divide(F.col("s"), F.col("t")), F.try_divide(F.col("same"), F.col("total")))
-    auc = (F.try_divide(F.col("s"), F.col("t")) + 1 - F.try_divide(F.col("same") - F.col("s"), F.col("total") - F.col("t"))) / 2
-    return one.select(F.col("t").cast("long").alias("ties"), F.col("s").cast("long").alias("inside"), F.when(defined, F.round(lift, 9)).alias("lift"), F.when(defined, F.round(auc, 9)).alias("auc"))
+    return _lift_of(placed, tied)
+
+
+def copresent_lift(assignment: DataFrame, entity: str, group: str, members: DataFrame, listed: int = LISTED) -> DataFrame:
+    """``lift_auc`` with the ties of ``members`` (grp, entity), which are not listed where they are too many to be joined."""
+    ties, dense = pairs_or_members(members, listed)
+    if dense is None:
+        return lift_auc(assignment, entity, group, ties)
+    placed = _placed(assignment, entity, group)
+    counts = placed.groupBy(F.col("e").alias("entity"), F.col("g").alias("label")).agg(F.array(F.count(F.lit(1))).alias("counts"))
+    tied = dense.tied(counts).agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("t"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    return _lift_of(placed, tied)
 
 
 def counted_scores(people: DataFrame, entity: str, group: str, count: str, ties: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -115,7 +115,7 @@ def contingency_ari(s: SparkSession, d: str) -> DataFrame:
 base AS (SELECT sum(n * (n - 1) / 2) AS same, sum(n) * (sum(n) - 1) / 2 AS total FROM z), tied AS (SELECT CAST(count(*) AS DOUBLE) AS t, CAST(count(*) FILTER (x.g = y.g) AS DOUBLE) AS s FROM ties JOIN p x ON x.e = src JOIN p y ON y.e = dst)
 SELECT CAST(t AS BIGINT) AS ties, CAST(s AS BIGINT) AS inside, round((s / t) / (same / total), 9) AS lift, round((s / t + 1 - (same - s) / (total - t)) / 2, 9) AS auc FROM base, tied""")
 def lift_auc(s: SparkSession, d: str) -> DataFrame:
-    return pt.lift_auc(t(s, d, "customer"), "c_custkey", "c_mktsegment", event_ties(s, d))
+    return pt.copresent_lift(t(s, d, "customer"), "c_custkey", "c_mktsegment", event_members(s, d))
 
 
 @query("bootstrap_ci")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import copresence as co
+from kinweave.operators import partitions as pt
 from kinweave.operators.dense_pairs import Members
 
 from .conftest import rows
@@ -46,3 +47,21 @@ def test_degrees_without_listing_pairs(spark):
     assert rows(co.degrees_of(m)) == want
     got = Members(m, m.count(), 12, 5).degrees()
     assert rows(got) == want and "Generate explode(dsts" not in got._jdf.queryExecution().toString()
+
+
+def people(spark, m):
+    """Some of the members, some unplaced or twice, and two that are no members."""
+    rng = random.Random(2)
+    ids = sorted({r["entity"] for r in m.collect()})
+    data = [(x, rng.choice("ABC")) for x in ids if x[-1] != "7"] + [(ids[0], "A"), (ids[1], "B"), (ids[2], None), ("other", "A"), ("another", "C")]
+    return spark.createDataFrame(data, "e string, g string")
+
+
+def test_lift_without_listing_pairs(spark):
+    m = drawn(spark)
+    p = people(spark, m)
+    want = pt.lift_auc(p, "e", "g", co.pairs_of(m)).first()
+    assert want["inside"] > 0 and pt.copresent_lift(p, "e", "g", m).first() == want
+    got = pt.copresent_lift(p, "e", "g", m, listed=0)
+    assert got.first() == want and "Generate explode(dsts" not in got._jdf.queryExecution().toString()
+    assert pt.copresent_lift(p.limit(0), "e", "g", m, listed=0).first() == pt.lift_auc(p.limit(0), "e", "g", co.pairs_of(m)).first()
