@@ -87,18 +87,24 @@ def counted_scores(people: DataFrame, entity: str, group: str, count: str, ties:
     """
     by = by or []
     p = people.filter(F.col(group).isNotNull() & (F.col(count) > 0)).select(*by, F.col(entity).alias("e"), F.col(group).alias("g"), F.col(count).cast("double").alias("c"))
-    sizes = p.groupBy(*by, "g").agg(F.sum("c").alias("n"), F.sum(choose2(F.col("c"))).alias("own"))
-    base = sizes.groupBy(*by).agg((choose2(F.sum("n")) - F.sum("own")).alias("total"), (F.sum(choose2(F.col("n"))) - F.sum("own")).alias("same"))
+    base = _base(p, by)
     src, dst = p.toDF(*by, "src", "gs", "cs"), p.toDF(*by, "dst", "gd", "cd")
     both = ties.select("src", "dst").join(src, "src").join(dst, ["dst", *by])
     w = F.col("cs") * F.col("cd")
     tied = both.groupBy(*by).agg(F.sum(w).alias("t"), F.sum(F.when(F.col("gs") == F.col("gd"), w).otherwise(0.0)).alias("s"))
+    return _counted(base, tied, by)
+
+
+def _base(p: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, total, same) of (*by, e, g, c): pairs of copies of different entities, and those inside groups."""
+    sizes = p.groupBy(*by, "g").agg(F.sum("c").alias("n"), F.sum(choose2(F.col("c"))).alias("own"))
+    return sizes.groupBy(*by).agg((choose2(F.sum("n")) - F.sum("own")).alias("total"), (F.sum(choose2(F.col("n"))) - F.sum("own")).alias("same"))
+
+
+def _counted(base: DataFrame, tied: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, pairs, ties, inside, lift, auc) of ``_base`` and the sums (*by, t, s) over ties."""
     one = (base.join(tied, by, "left") if by else base.crossJoin(tied)).withColumn("t", F.coalesce("t", F.lit(0.0))).withColumn("s", F.coalesce("s", F.lit(0.0)))
-    defined = (F.col("t") > 0) & (F.col("t") != F.col("total")) & (F.col("same") > 0)
-    inside = F.try_divide(F.col("s"), F.col("t"))
-    lift = F.try_divide(inside, F.try_divide(F.col("same"), F.col("total")))
-    auc = (inside + 1 - F.try_divide(F.col("same") - F.col("s"), F.col("total") - F.col("t"))) / 2
-    return one.select(*by, F.col("total").cast("long").alias("pairs"), F.col("t").cast("long").alias("ties"), F.col("s").cast("long").alias("inside"), F.when(defined, F.round(lift, 9)).alias("lift"), F.when(defined, F.round(auc, 9)).alias("auc"))
+    return _scored(one).select(*by, F.col("total").cast("long").alias("pairs"), F.col("t").cast("long").alias("ties"), F.col("s").cast("long").alias("inside"), "lift", "auc")
 
 
 #: Cumulative probabilities of a Poisson(1) count of 0, 1, 2 and so on.
@@ -107,7 +113,14 @@ POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 def poisson_count(seed: int, draw: Column, entity: Column) -> Column:
     """A Poisson(1) count from a hash of (seed, draw, entity): the same wherever and however often it is made."""
-    u = F.pmod(F.xxhash64(F.lit(seed), draw, entity), F.lit(1 << 40)) / float(1 << 40)
+    return _poisson(_uniform(seed, draw, entity))
+
+
+def _uniform(seed: int, draw: Column, entity: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), draw, entity), F.lit(1 << 40)) / float(1 << 40)
+
+
+def _poisson(u: Column) -> Column:
     return reduce(lambda rest, k: F.when(u < POISSON[k], F.lit(k)).otherwise(rest), reversed(range(len(POISSON))), F.lit(len(POISSON)))
 
 
@@ -116,9 +129,35 @@ def _drawn(df: DataFrame, entity: str, draws: int, seed: int) -> DataFrame:
 
 
 def score_intervals(assignment: DataFrame, entity: str, group: str, ties: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
-    """One row: 95 % percentile intervals (linear) of lift and AUC over draws of entities, and in how many draws they are defined."""
-    people = _drawn(assignment.filter(F.col(group).isNotNull()).select(entity, group), entity, draws, seed)
-    got = counted_scores(people, entity, group, "times", ties, ["draw"])
+    """One row: 95 % percentile intervals (linear) of lift and AUC over draws of entities, and in how many draws they are defined.
+
+    Draws are made of the tied pairs, not of the entities before they meet their ties.
+    """
+    placed = _placed(assignment, entity, group)
+    src, dst = (placed.select(F.col("e").alias(end), F.col("g").alias(f"g_{end}"), F.col("e").alias(f"e_{end}")) for end in ("src", "dst"))
+    both = ties.select("src", "dst").join(src, "src").join(dst, "dst").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    w = (poisson_count(seed, F.col("draw"), F.col("e_src")) * poisson_count(seed, F.col("draw"), F.col("e_dst"))).cast("double")
+    weighed = both.select("draw", w.alias("w"), (F.col("g_src") == F.col("g_dst")).alias("inside"))
+    tied = weighed.groupBy("draw").agg(F.sum("w").alias("t"), F.sum(F.when(F.col("inside"), F.col("w")).otherwise(0.0)).alias("s"))
+    return _intervals(placed, tied, draws, seed)
+
+
+def copresent_intervals(assignment: DataFrame, entity: str, group: str, members: DataFrame, draws: int = 200, seed: int = 1, listed: int = LISTED) -> DataFrame:
+    """``score_intervals`` with the ties of ``members`` (grp, entity), which are not listed where they are too many to be joined."""
+    ties, dense = pairs_or_members(members, listed)
+    if dense is None:
+        return score_intervals(assignment, entity, group, ties, draws, seed)
+    placed = _placed(assignment, entity, group)
+    # one hash per draw, read by all the comparisons of its count
+    u = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: _uniform(seed, k, F.col("e")))
+    counts = F.transform(u, lambda x: _poisson(x).cast("tinyint"))
+    return _intervals(placed, dense.tied(placed.select(F.col("e").alias("entity"), F.col("g").alias("label"), counts.alias("counts"))), draws, seed)
+
+
+def _intervals(placed: DataFrame, tied: DataFrame, draws: int, seed: int) -> DataFrame:
+    """The intervals of the sums (draw, t, s) over ties of drawn entities."""
+    drawn = _drawn(placed, "e", draws, seed).filter("times > 0").select("draw", "e", "g", F.col("times").cast("double").alias("c"))
+    got = _counted(_base(drawn, ["draw"]), tied, ["draw"])
     ends = lambda c, q: F.round(F.percentile(c, F.lit(q)), 9)
     return got.agg(F.count("lift").alias("defined"), ends("lift", 0.025).alias("lift_lo"), ends("lift", 0.975).alias("lift_hi"), ends("auc", 0.025).alias("auc_lo"), ends("auc", 0.975).alias("auc_hi"))
 

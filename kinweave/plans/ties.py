@@ -134,7 +134,7 @@ def counted_scores(s: SparkSession, d: str) -> DataFrame:
 
 @query("score_intervals")
 def score_intervals(s: SparkSession, d: str) -> DataFrame:
-    return pt.score_intervals(t(s, d, "customer"), "c_custkey", "c_mktsegment", event_ties(s, d))
+    return pt.copresent_intervals(t(s, d, "customer"), "c_custkey", "c_mktsegment", event_members(s, d))
 
 
 @query("partition_stability")

@@ -65,3 +65,15 @@ def test_lift_without_listing_pairs(spark):
     got = pt.copresent_lift(p, "e", "g", m, listed=0)
     assert got.first() == want and "Generate explode(dsts" not in got._jdf.queryExecution().toString()
     assert pt.copresent_lift(p.limit(0), "e", "g", m, listed=0).first() == pt.lift_auc(p.limit(0), "e", "g", co.pairs_of(m)).first()
+
+
+def test_intervals_without_drawing_before_the_ties_are_met(spark):
+    m = drawn(spark)
+    p, ties = people(spark, m), co.pairs_of(m)
+    every = p.filter("g IS NOT NULL").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("n", pt.poisson_count(1, F.col("draw"), F.col("e")))
+    want = rows(pt.counted_scores(every, "e", "g", "n", ties, ["draw"]), "draw", "pairs", "ties", "inside")
+    dense = Members(m, m.count(), 12, 5)
+    counts = p.filter("g IS NOT NULL").select(F.col("e").alias("entity"), F.col("g").alias("label"), F.array(*[pt.poisson_count(1, F.lit(k), F.col("e")) for k in range(1, 21)]).alias("counts"))
+    assert rows(dense.tied(counts).select("draw", F.col("t").cast("long"), F.col("s").cast("long"))) == [(d, t, s) for d, _, t, s in want]
+    plain = pt.score_intervals(p, "e", "g", ties, draws=20)
+    assert plain.first() == pt.copresent_intervals(p, "e", "g", m, draws=20, listed=0).first() and plain.first()["defined"] == 20
