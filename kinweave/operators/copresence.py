@@ -103,6 +103,12 @@ def limited(ties: DataFrame, people: DataFrame, key: str) -> DataFrame:
     return ties.join(some, ties["src"] == some["p"], "left_semi").join(some, ties["dst"] == some["p"], "left_semi")
 
 
+def among(members: DataFrame, people: DataFrame, key: str) -> DataFrame:
+    """Members among ``people``: their pairs are those of ``members`` that ``limited`` keeps."""
+    some = people.select(F.col(key).alias("p")).distinct()
+    return members.join(some, members["entity"] == some["p"], "left_semi")
+
+
 def layers(base: DataFrame, entity: str, keep: Column, group: dict[str, list[Column]]) -> DataFrame:
     """(layer, ties, added): pair counts under ever coarser group keys, and how many each layer adds.
 

@@ -61,7 +61,7 @@ def copresence_degree(s: SparkSession, d: str) -> DataFrame:
 
 @query("copresence_limited", f"WITH {EVENT_TIES} SELECT src, dst FROM ties WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def copresence_limited(s: SparkSession, d: str) -> DataFrame:
-    return co.limited(event_ties(s, d), t(s, d, "customer").filter("c_acctbal > 0"), "c_custkey")
+    return co.pairs_of(co.among(event_members(s, d), t(s, d, "customer").filter("c_acctbal > 0"), "c_custkey"))
 
 
 def _venue_groups() -> str:

@@ -77,3 +77,9 @@ def test_intervals_without_drawing_before_the_ties_are_met(spark):
     assert rows(dense.tied(counts).select("draw", F.col("t").cast("long"), F.col("s").cast("long"))) == [(d, t, s) for d, _, t, s in want]
     plain = pt.score_intervals(p, "e", "g", ties, draws=20)
     assert plain.first() == pt.copresent_intervals(p, "e", "g", m, draws=20, listed=0).first() and plain.first()["defined"] == 20
+
+
+def test_pairs_among_some_are_pairs_of_some_members(spark):
+    m = drawn(spark)
+    some = people(spark, m)
+    assert rows(co.pairs_of(co.among(m, some, "e"))) == rows(co.limited(co.pairs_of(m), some, "e"))
