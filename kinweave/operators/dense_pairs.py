@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -36,8 +37,8 @@ EXACT = 1 << 24
 #: The part of a block that says what its entities are; it comes first.
 HEAD = -1
 
-#: What a head says: names, places of the named in their block, counts.
-Head = tuple[pa.Array | None, pa.Array | None, pa.Array | None]
+#: What a head says: names, places of the named in their block, packed counts.
+Head = tuple[pa.Array | None, pa.Array | None, bytes | None]
 
 
 def blocks_for(entities: int, size: int = ENTITIES) -> int:
@@ -95,7 +96,7 @@ class Members:
     def plain_heads(self) -> DataFrame:
         """Each block's entities in order."""
         own = self.entities.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("idx", "entity"))).alias("x"))
-        return own.select("block", F.col("x.entity").alias("names"), F.col("x.idx").alias("idx"), F.lit(None).cast("array<int>").alias("counts"))
+        return own.select("block", F.col("x.entity").alias("names"), F.col("x.idx").alias("idx"), F.lit(None).cast("binary").alias("counts"))
 
     def pairs(self) -> DataFrame:
         """(src, dst), src < dst: each pair once."""
@@ -109,15 +110,17 @@ class Members:
         got = self.cells(self.plain_heads()).mapInArrow(self._on(_degrees), f"entity {kind}, n bigint")
         return got.groupBy("entity").agg(F.sum("n").alias("degree"))
 
-    def tied(self, labelled: DataFrame) -> DataFrame:
+    def tied(self, labelled: DataFrame, counts: Column | None = None) -> DataFrame:
         """(draw, t, s): over all pairs, the sum of products of both ends' counts, and of those with one label; draws from 1.
 
         ``labelled``: (entity, label, counts), where counts has one number per draw;
-        an entity may have several rows. No pair is listed.
+        an entity may have several rows. No pair is listed. Long arrays are better
+        given as ``counts``, made of the entity: only those with groups get them then.
         """
-        own = labelled.select("entity", F.col("label").cast("string").alias("label"), "counts")
-        own = own.join(self.entities, "entity").groupBy("block").agg(F.collect_list(F.struct("idx", "label", "counts")).alias("x"))
-        heads = own.select("block", F.col("x.label").alias("names"), F.col("x.idx").alias("idx"), F.flatten("x.counts").alias("counts"))
+        own = labelled.select("entity", F.col("label").cast("string").alias("label"), *(["counts"] if counts is None else []))
+        # merged: Spark takes an array for a single number, so it would broadcast many
+        own = own.join(self.entities.hint("merge"), "entity").withColumn("counts", F.col("counts") if counts is None else counts)
+        heads = own.groupBy("block").applyInArrow(_head, "block int, names array<string>, idx array<int>, counts binary")
         got = self.cells(heads).mapInArrow(self._on(_sums), "draw int, t double, s double")
         return got.groupBy("draw").agg(F.sum("t").alias("t"), F.sum("s").alias("s"))
 
@@ -132,6 +135,14 @@ def _packed(part: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([part["block"][0].as_py()], pa.int32()), "part": pa.array([part["part"][0].as_py()], pa.int32()), "data": pa.array([file.getvalue()], pa.binary())})
 
 
+def _head(own: pa.Table) -> pa.Table:
+    """The labelled rows of a block as one row; counts are packed, since a head goes to as many cells as there are blocks."""
+    file = io.BytesIO()
+    np.savez_compressed(file, counts=pc.list_flatten(own["counts"]).to_numpy())
+    lists = [pa.array([own[c].to_pylist()], pa.list_(kind)) for c, kind in (("label", pa.string()), ("idx", pa.int32()))]
+    return pa.table({"block": pa.array([own["block"][0].as_py()], pa.int32()), "names": lists[0], "idx": lists[1], "counts": pa.array([file.getvalue()], pa.binary())})
+
+
 def _cells(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, Head, Head, np.ndarray]]:
     """(lo, hi, both heads, bits) of each cell: a row of bits per entity of the lower block; within a block for src < dst only."""
     words = -(-n // 64)
@@ -144,7 +155,7 @@ def _cells(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int
             if lo == hi:
                 got[1] = got[0]
             if part == HEAD:
-                heads = {side: tuple(b.column(c)[r].values for c in ("names", "idx", "counts")) for side, (b, r) in got.items()}
+                heads = {side: (b.column("names")[r].values, b.column("idx")[r].values, b.column("counts")[r].as_py()) for side, (b, r) in got.items()}
             elif len(got) == 2:
                 _set(bits, *(np.load(io.BytesIO(b.column("data")[r].as_py())) for b, r in (got[0], got[1])))
         if lo == hi:
@@ -205,7 +216,7 @@ def _sums(lo: int, hi: int, one: Head, two: Head, bits: np.ndarray) -> Iterator[
         label = np.array([code.setdefault(x, len(code)) for x in labels.to_pylist()])
         idx = idx.to_numpy()
         order = np.argsort(idx if by == 0 else label, kind="stable")  # rows of a chunk, or of a label, stand together
-        sides.append((label[order], idx[order], counts.to_numpy().reshape(len(idx), -1)[order].astype(np.float64)))
+        sides.append((label[order], idx[order], np.load(io.BytesIO(counts))["counts"].reshape(len(idx), -1)[order].astype(np.float64)))
     (la, ia, ca), (lb, ib, cb) = sides
     narrow = cb.sum(axis=0).max(initial=0) < EXACT
     cb = cb.astype(np.float32) if narrow else cb

@@ -131,11 +131,12 @@ def _drawn(df: DataFrame, entity: str, draws: int, seed: int) -> DataFrame:
 def score_intervals(assignment: DataFrame, entity: str, group: str, ties: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
     """One row: 95 % percentile intervals (linear) of lift and AUC over draws of entities, and in how many draws they are defined.
 
-    Draws are made of the tied pairs, not of the entities before they meet their ties.
+    Draws are made of the tied pairs, not of the entities before they meet their ties. Entities are merged to them,
+    since all of them may be too many for the driver to broadcast.
     """
     placed = _placed(assignment, entity, group)
     src, dst = (placed.select(F.col("e").alias(end), F.col("g").alias(f"g_{end}"), F.col("e").alias(f"e_{end}")) for end in ("src", "dst"))
-    both = ties.select("src", "dst").join(src, "src").join(dst, "dst").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    both = ties.select("src", "dst").join(src.hint("merge"), "src").join(dst.hint("merge"), "dst").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     w = (poisson_count(seed, F.col("draw"), F.col("e_src")) * poisson_count(seed, F.col("draw"), F.col("e_dst"))).cast("double")
     weighed = both.select("draw", w.alias("w"), (F.col("g_src") == F.col("g_dst")).alias("inside"))
     tied = weighed.groupBy("draw").agg(F.sum("w").alias("t"), F.sum(F.when(F.col("inside"), F.col("w")).otherwise(0.0)).alias("s"))
@@ -149,9 +150,9 @@ def copresent_intervals(assignment: DataFrame, entity: str, group: str, members:
         return score_intervals(assignment, entity, group, ties, draws, seed)
     placed = _placed(assignment, entity, group)
     # one hash per draw, read by all the comparisons of its count
-    u = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: _uniform(seed, k, F.col("e")))
+    u = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: _uniform(seed, k, F.col("entity")))
     counts = F.transform(u, lambda x: _poisson(x).cast("tinyint"))
-    return _intervals(placed, dense.tied(placed.select(F.col("e").alias("entity"), F.col("g").alias("label"), counts.alias("counts"))), draws, seed)
+    return _intervals(placed, dense.tied(placed.toDF("entity", "label"), counts), draws, seed)
 
 
 def _intervals(placed: DataFrame, tied: DataFrame, draws: int, seed: int) -> DataFrame:

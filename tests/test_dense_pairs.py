@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinweave.operators import copresence as co
 from kinweave.operators import partitions as pt
 from kinweave.operators.dense_pairs import Members
+from kinweave.storage import Scratch
 
 from .conftest import rows
 
@@ -79,6 +80,35 @@ def test_intervals_without_drawing_before_the_ties_are_met(spark):
     assert plain.first() == pt.copresent_intervals(p, "e", "g", m, draws=20, listed=0).first() and plain.first()["defined"] == 20
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString().splitlines()
+
+
+def test_people_are_not_broadcast_to_their_ties(spark, monkeypatch, tmp_path):
+    m = drawn(spark)
+    people(spark, m).write.parquet(f"{tmp_path}/people")
+    p = spark.read.parquet(f"{tmp_path}/people")  # of a known, small size
+    ties = spark.createDataFrame(wanted(m), "src string, dst string")
+    plan = plan_of(pt.score_intervals(p, "e", "g", ties, draws=20))
+    assert all("[draw#" in x for x in plan if "BroadcastHashJoin" in x) and sum("SortMergeJoin [src#" in x or "SortMergeJoin [dst#" in x for x in plan) == 2
+    saved, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saved.update({name: plan_of(df)}) or save(self, df, name))
+    pt.copresent_intervals(p, "e", "g", m, draws=20, listed=0)
+    plan = saved["parts"]
+    at = next(k for k, x in enumerate(plan) if "SortMergeJoin [" in x)
+    assert not any("BroadcastHashJoin" in x for x in plan)
+    # counts are made of those that have a group only: above the join
+    assert [k < at for k, x in enumerate(plan) if "transform(" in x] == [True]
+
+
+def test_counts_go_packed_to_the_cells(spark):
+    m = drawn(spark)
+    dense = Members(m, m.count(), 12, 5)
+    counts = people(spark, m).filter("g IS NOT NULL").select(F.col("e").alias("entity"), F.col("g").alias("label"))
+    got = dense.tied(counts, F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: pt.poisson_count(1, k, F.col("entity")).cast("tinyint")))
+    assert got.count() == 20 and dict(dense.work.read("parts").dtypes)["counts"] == "binary"
+
+
 def test_pairs_among_some_are_pairs_of_some_members(spark):
     m = drawn(spark)
     some = people(spark, m)
